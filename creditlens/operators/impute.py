@@ -90,5 +90,5 @@ def fit_fill_values(
     values: dict[str, object] = dict(constants)
     values.update({c: seen["_mean_" + c] for c in gaps if c in mean_columns})
     values.update(column_modes(df, texts))
-    values.update({c: v[0] for c, v in exact_quantiles(df, numbers, [0.5]).items()})
+    values.update({c: v[0] for c, v in exact_quantiles(df, numbers, [0.5], counts=seen.asDict()).items()})
     return FillValues(values)

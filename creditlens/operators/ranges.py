@@ -24,10 +24,14 @@ MAX_RANGES = 4096
 
 
 def long_array(values) -> Column:
-    """Literal array of whole numbers."""
+    """Literal array of whole numbers, parsed at once: making literals one by one is slow."""
     return F.expr("array(" + ", ".join(f"{int(v)}L" for v in values) + ")")
 
 
+def _double_array(values) -> Column:
+    return F.expr("array(" + ", ".join(f"{float(v)}D" for v in values) + ")")
+
+
 class Splits:
     """Value count and split points of each column (bounded by ``MAX_RANGES`` numbers each)."""
 
@@ -54,26 +58,28 @@ class Splits:
 
 
 def find_splits(
-    df: DataFrame, columns: list[str], rows_per_range: int = ROWS_PER_RANGE, max_ranges: int = MAX_RANGES
+    df: DataFrame,
+    columns: list[str],
+    rows_per_range: int = ROWS_PER_RANGE,
+    max_ranges: int = MAX_RANGES,
+    counts: dict[str, int] | None = None,
 ) -> Splits:
-    """Split points in one pass over ``columns``; none for a column short enough for one task."""
-    grid = F.expr(f"transform(sequence(1, {max_ranges - 1}), i -> i / {float(max_ranges)}D)")
-    found = df.agg(*[
-        F.struct(
-            F.count(c).alias("n"),
-            F.percentile_approx(c, grid, max_ranges * 4).alias("grid"),
-        ).alias(c)
-        for c in columns
-    ]).first()
-    counts, cuts = {}, {}
-    for c in columns:
-        n = found[c]["n"]
-        ranges = min(max_ranges, math.ceil(n / rows_per_range))
-        counts[c] = n
-        points = found[c]["grid"] or []
-        step = max_ranges / ranges if ranges else 0
-        picked = {points[int(i * step) - 1] for i in range(1, ranges)} if ranges > 1 else set()
-        cuts[c] = sorted(p for p in picked if math.isfinite(p))
+    """Split points of ``columns``; none for a column short enough for one task.
+
+    One pass counts the values, unless ``counts`` gives their numbers; a second one sketches the
+    long columns, if there are any.
+    """
+    if counts is None:
+        counts = df.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
+    counts = {c: counts[c] for c in columns}
+    cuts: dict[str, list[float]] = {c: [] for c in columns}
+    long = {c: min(max_ranges, math.ceil(n / rows_per_range)) for c, n in counts.items() if n > rows_per_range}
+    if long:
+        found = df.agg(*[
+            F.percentile_approx(c, _double_array(i / n for i in range(1, n)), 4 * n).alias(c) for c, n in long.items()
+        ]).first()
+        for c in long:
+            cuts[c] = sorted({p for p in found[c] if math.isfinite(p)})
     return Splits(counts, cuts)
 
 
@@ -116,15 +122,29 @@ def exact_quantiles(
     probs: list[float],
     rows_per_range: int = ROWS_PER_RANGE,
     max_ranges: int = MAX_RANGES,
+    counts: dict[str, int] | None = None,
 ) -> dict[str, list[float]]:
     """Linear-interpolated quantiles of numeric columns, nulls left out; None for an empty column.
 
-    Only the slices of the value range that hold a wanted rank are counted value by value.
+    Columns of at most ``rows_per_range`` values go through the built-in exact aggregate, whose
+    buffer is bounded then. Of a longer column only the slices of the value range that hold a wanted
+    rank are counted value by value. ``counts`` saves a pass if the numbers of values are known.
     """
     if not columns:
         return {}
     numeric = df.select([missing_to_null(F.col(c)).alias(c) for c in columns])
-    splits = find_splits(numeric, columns, rows_per_range, max_ranges)
+    splits = find_splits(numeric, columns, rows_per_range, max_ranges, counts)
+    out = {}
+    short = [c for c in columns if splits.counts[c] <= rows_per_range]
+    if short:
+        row = numeric.agg(*[F.percentile(c, _double_array(probs)).alias(c) for c in short]).first()
+        out = {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in short}
+    long = [c for c in columns if c not in short]
+    return out | _long_quantiles(numeric, long, probs, splits) if long else out
+
+
+def _long_quantiles(numeric: DataFrame, columns: list[str], probs: list[float], splits: Splits) -> dict[str, list[float]]:
+    splits = Splits({c: splits.counts[c] for c in columns}, {c: splits.cuts[c] for c in columns})
     ranged = splits.add_range_columns(numeric)
     starts = _range_starts(ranged, splits)
 
@@ -133,14 +153,11 @@ def exact_quantiles(
         for rank in _ranks(splits.counts[c], probs):
             r = bisect_right(starts[c], rank) - 1
             wanted.setdefault((i, r), set()).add(rank - starts[c][r])
-    picked = _values_at(ranged, columns, wanted) if wanted else {}
+    picked = _values_at(ranged, columns, wanted)
 
     out = {}
     for i, c in enumerate(columns):
         n = splits.counts[c]
-        if n == 0:
-            out[c] = [None] * len(probs)
-            continue
         values = []
         for p in probs:
             h = (n - 1) * p
@@ -155,7 +172,7 @@ def exact_quantiles(
 
 
 def _ranks(n: int, probs: list[float]) -> set[int]:
-    lows = {math.floor((n - 1) * p) for p in probs} if n else set()
+    lows = {math.floor((n - 1) * p) for p in probs}
     return lows | {min(r + 1, n - 1) for r in lows}
 
 

@@ -10,6 +10,7 @@ from creditlens.functions import labels as L
 from creditlens.functions import numbers as N
 from creditlens.operators.impute import FillValues, fit_fill_values
 from creditlens.operators.shaping import append_rows, drop_columns, drop_incomplete, in_range, keep_rows, reorder
+from creditlens.session import write_stage
 
 # --- fixed values ---------------------------------------------------------------------------
 
@@ -62,9 +63,15 @@ def fit_imputation(cleaned: DataFrame, keep_id: str | None = None) -> FillValues
 
 
 def stage_clean(raw: DataFrame, keep_id: str | None = None, fill: FillValues | None = None) -> DataFrame:
-    """Stage v0: cleaned and imputed. ``fill`` re-uses the values of an earlier run."""
+    """Stage v0: cleaned and imputed.
+
+    ``fill`` re-uses the values of an earlier run in one narrow pass. Without it the cleaned rows
+    are read several times over, so they are written once.
+    """
     cleaned = clean(raw, keep_id)
-    fill = fill or fit_imputation(cleaned, keep_id)
+    if fill is None:
+        cleaned = write_stage(cleaned, "clean")
+        fill = fit_imputation(cleaned, keep_id)
     return fill.apply(_with_side_business(cleaned))
 
 
