@@ -98,7 +98,9 @@ def education(c: Column) -> Column:
     """Education level; text that fits no rule keeps the spelled-out form of 'no school'."""
     exact = strip(c)
     upper = F.upper(exact)
-    diploma = reduce(or_, [upper.contains(p) for p in DIPLOMA_PARTS], upper.isin(DIPLOMA_NAMES))
+    # A text that holds DIII also holds DI: the shortest parts decide.
+    parts = [p for p in DIPLOMA_PARTS if not any(q in p for q in DIPLOMA_PARTS if q != p)]
+    diploma = reduce(or_, [upper.contains(p) for p in parts], upper.isin(DIPLOMA_NAMES))
     return choose(
         [
             (c.isNull() | (upper == NO_SCHOOL_TEXT), F.lit(NO_SCHOOL)),

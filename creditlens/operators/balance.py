@@ -83,7 +83,7 @@ def _reachable(points: np.ndarray, cells: _Cells, k: int) -> list[np.ndarray]:
 
 
 def nearest_neighbours(
-    points: DataFrame, row_id: str, features: list[str], k: int = NEIGHBOURS, pivots: int = 256, block: int = 4096
+    points: DataFrame, row_id: str, features: list[str], k: int = NEIGHBOURS, max_pivots: int = 2048, block: int = 4096
 ) -> DataFrame:
     """The ``k`` nearest other rows of each row by Euclidean distance, ties by the smaller id.
 
@@ -92,8 +92,9 @@ def nearest_neighbours(
     spark = points.sparkSession
     vector = F.array(*[F.col(f).cast("double") for f in features])
     rows = points.select(F.col(row_id).cast("long").alias("id"), vector.alias("v"))
-    # Equal rows: the smallest id stands for all. More than k + 1 members never matter.
-    distinct = rows.groupBy("v").agg(F.min("id").alias("point"))
+    # Equal rows are one point, named by the smallest id.
+    distinct = write_stage(rows.groupBy("v").agg(F.min("id").alias("point")), "points")
+    pivots = max(1, min(max_pivots, -(-distinct.count() // block)))
     sample = distinct.orderBy(row_hash(F.col("point"), 7), "point").limit(pivots).collect()
     if not sample:
         return spark.createDataFrame([], f"{row_id} long, slot int, neighbour long, distance2 double")
@@ -107,7 +108,7 @@ def nearest_neighbours(
         return pd.DataFrame({"cell": cell.astype("int32"), "distance": np.sqrt(d[np.arange(len(d)), cell])})
 
     placed = write_stage(
-        distinct.withColumn("home", home_cell("v")).select("point", "v", "home.cell", "home.distance"), "points"
+        distinct.withColumn("home", home_cell("v")).select("point", "v", "home.cell", "home.distance"), "cells"
     )
     cells = _describe_cells(placed, centres, k)
     n_blocks = np.maximum(1, -(-cells.sizes // block)).astype("int32")

@@ -18,6 +18,9 @@ def build_session(app_name: str = "creditlens", master: str | None = None, **con
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # The JVM does not compile methods above 8000 bytes of bytecode; the wide label and date
+        # expressions of the preparation would run interpreted if fused into one method.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
     }
     settings.update(conf)
     builder = SparkSession.builder.appName(app_name)

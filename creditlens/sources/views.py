@@ -44,10 +44,13 @@ def _unless(k: Column, every: int, value: Column) -> Column:
 
 
 def returned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines and returned lines per order."""
+    """Lines and returned lines per order.
+
+    The result grows with the orders it is joined to, so the join is a merge join at any size.
+    """
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("l_returnflag") == "R").alias("n_returned")
-    )
+    ).hint("merge")
 
 
 def loan_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
