@@ -25,6 +25,11 @@ def rounded(df, *columns, digits: int = 6):
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
+def _scored(spark, sf):
+    """Scored applications, written once for the reports that read them several times."""
+    return write_stage(V.scored(spark, sf), "scored")
+
+
 def _v0(spark, sf, *columns):
     """Imputed applications, reduced to the columns a report needs."""
     return P.stage_clean(V.loan_raw(spark, sf), "id_aplikasi").select(*columns)
@@ -93,7 +98,7 @@ LEFT JOIN scored ON scored.label = sized.label AND pd >= lo + spine.range * ((hi
   AND (pd < lo + (spine.range + 1) * ((hi - lo) / sized.n) OR spine.range + 1 = sized.n)
 GROUP BY 1, 2""", _DENSITY))
 def e2(spark, sf):
-    table = E.class_density(V.scored(spark, sf), "pd", "label")
+    table = E.class_density(_scored(spark, sf), "pd", "label")
     return rounded(table, "density").select("label", "bin", "n", "density")
 
 
@@ -127,7 +132,7 @@ SELECT bin, round(a, 6) AS lo, round(b, 6) AS hi, count(pd) AS n
 FROM edges LEFT JOIN (SELECT pd FROM scored WHERE label = 0 AND split = 'train')
   ON pd >= a AND (pd < b OR (edges.bin + 1 = edges.n AND pd <= b)) GROUP BY ALL""", _HIST))
 def e5(spark, sf):
-    rows = V.scored(spark, sf).where("label = 0 and split = 'train'")
+    rows = _scored(spark, sf).where("label = 0 and split = 'train'")
     return rounded(E.histogram(rows, "pd"), "lo", "hi")
 
 
@@ -138,7 +143,7 @@ LEFT JOIN graded ON graded.rating = r.rating AND pd >= a AND (pd < b OR edges.bi
 """edges AS (SELECT range AS bin, lo + range * ((hi - lo) / 500) AS a, lo + (range + 1) * ((hi - lo) / 500) AS b
   FROM (SELECT min(pd) AS lo, max(pd) AS hi FROM graded), range(0, 500))"""))
 def e6(spark, sf):
-    graded = G.add_grades(V.scored(spark, sf), G.default_grades(spark)).withColumnRenamed("rating", "cluster")
+    graded = G.add_grades(_scored(spark, sf), G.default_grades(spark)).withColumnRenamed("rating", "cluster")
     return E.histogram_shared(graded, "pd", "cluster").select("cluster", "bin", "n")
 
 
@@ -147,7 +152,7 @@ SELECT CAST(range AS INTEGER) AS position,
   round(CASE WHEN range = 10 THEN 1.0 ELSE lo + range * ((hi - lo) / 10) END, 6) AS edge
 FROM (SELECT min(pd) AS lo, max(pd) AS hi FROM scored), range(0, 11)"""))
 def e7(spark, sf):
-    return rounded(E.edge_builder(V.scored(spark, sf), "pd"), "edge")
+    return rounded(E.edge_builder(_scored(spark, sf), "pd"), "edge")
 
 
 # Buckets -------------------------------------------------------------------------------------
@@ -156,7 +161,7 @@ def e7(spark, sf):
 @query("f1_quantile_bucket", Q.with_view("scored", "SELECT row_id, CAST(bucket AS INTEGER) AS bucket FROM bucketed",
                                          quantile_buckets("scored", "pd", 10)))
 def f1(spark, sf):
-    bucketed, _ = B.add_bucket(V.scored(spark, sf), "pd", 10)
+    bucketed, _ = B.add_bucket(_scored(spark, sf), "pd", 10)
     return bucketed.select("row_id", "bucket")
 
 
@@ -217,7 +222,7 @@ def _ks(table):
 
 @query("g1_ks_table", Q.with_view("scored", _KS, quantile_buckets("scored", "pd", 10), spine(10), _STATS))
 def g1(spark, sf):
-    return _ks(K.ks_table(V.scored(spark, sf), "pd", "label"))
+    return _ks(K.ks_table(_scored(spark, sf), "pd", "label"))
 
 
 @query("g1_ks_table_fixed_edges", Q.with_view("scored", _KS, fixed_buckets("scored", "pd", S.PD_EDGES), spine(5), _STATS))
@@ -233,7 +238,7 @@ FROM shares"""
 
 @query("g2_pd_table", Q.with_view("scored", _PD, quantile_buckets("scored", "pd", 10), spine(10), _STATS))
 def g2(spark, sf):
-    return rounded(K.pd_table(V.scored(spark, sf), "pd", "label"), "PD_min", "PD_max", "pct_bad")
+    return rounded(K.pd_table(_scored(spark, sf), "pd", "label"), "PD_min", "PD_max", "pct_bad")
 
 
 @query("g2_pd_table_fixed_edges", Q.with_view("scored", _PD, fixed_buckets("scored", "pd", S.PD_EDGES), spine(5), _STATS))
@@ -268,7 +273,7 @@ def _woe(table):
 @query("g3_woe_numeric", Q.with_view("scored", _WOE, quantile_buckets("scored", "pd", 10), spine(10),
                                      _woe_sql("pd", "scored", "label")))
 def g3(spark, sf):
-    return _woe(K.woe_numeric(V.scored(spark, sf), "pd", "label"))
+    return _woe(K.woe_numeric(_scored(spark, sf), "pd", "label"))
 
 
 @query("g3_woe_numeric_of_documents", f"""
@@ -452,7 +457,7 @@ FROM (SELECT d, n1, n2, (sqrt(n1 * n2 / (n1 + n2)) + 0.12 + 0.11 / sqrt(n1 * n2
 @query("g11_ks_two_sample", Q.with_view("scored", _ks_two("train", "pd", "label = 1"),
                                         "train AS (SELECT * FROM scored WHERE split = 'train')"))
 def g11(spark, sf):
-    train = V.scored(spark, sf).where("split = 'train'")
+    train = _scored(spark, sf).where("split = 'train'")
     return rounded(C.ks_two_sample(train, "pd", F.col("label") == 1), "statistic", "p_value")
 
 
@@ -464,7 +469,7 @@ edges AS (SELECT label, range AS bin, n, lo + range * ((hi - lo) / n) AS a, lo +
 hist AS (SELECT edges.label, bin, count(pd) AS n FROM edges LEFT JOIN scored ON scored.label = edges.label AND pd >= a
   AND (pd < b OR edges.bin + 1 = edges.n) GROUP BY ALL)"""))
 def g12(spark, sf):
-    return rounded(C.ks_of_histograms(V.scored(spark, sf), "pd", "label"), "statistic", "p_value")
+    return rounded(C.ks_of_histograms(_scored(spark, sf), "pd", "label"), "statistic", "p_value")
 
 
 _CONFUSION = """SELECT t.range AS true_label, p.range AS pred_label, count(label) AS n
@@ -486,7 +491,7 @@ _ROC = """roc AS (SELECT pd, CAST(sum(neg) OVER w / sum(neg) OVER () AS DOUBLE)
 @query("g14_roc_points", Q.with_view("scored", """
 SELECT pd AS threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM roc""", _ROC))
 def g14(spark, sf):
-    return rounded(C.roc_points(V.scored(spark, sf), "pd", "label"), "fpr", "tpr")
+    return rounded(C.roc_points(_scored(spark, sf), "pd", "label"), "fpr", "tpr")
 
 
 @query("g15_auc", Q.with_view("scored", """
@@ -495,7 +500,7 @@ SELECT round(a, 6) AS auc, round(2 * a - 1, 6) AS gini FROM (
     SELECT fpr, tpr, coalesce(lag(fpr) OVER (ORDER BY pd DESC), 0) AS pf, coalesce(lag(tpr) OVER (ORDER BY pd DESC), 0) AS pt
     FROM roc))""", _ROC))
 def g15(spark, sf):
-    return rounded(C.auc(V.scored(spark, sf), "pd", "label"), "auc", "gini")
+    return rounded(C.auc(_scored(spark, sf), "pd", "label"), "auc", "gini")
 
 
 @query("g16_accuracy", Q.with_view("scored", """
