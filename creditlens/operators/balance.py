@@ -83,10 +83,18 @@ def _reachable(points: np.ndarray, cells: _Cells, k: int) -> list[np.ndarray]:
 
 
 def nearest_neighbours(
-    points: DataFrame, row_id: str, features: list[str], k: int = NEIGHBOURS, max_pivots: int = 2048, block: int = 4096
+    points: DataFrame,
+    row_id: str,
+    features: list[str],
+    k: int = NEIGHBOURS,
+    max_pivots: int = 2048,
+    cell: int = 1024,
+    block: int = 4096,
 ) -> DataFrame:
     """The ``k`` nearest other rows of each row by Euclidean distance, ties by the smaller id.
 
+    There is one pivot for every ``cell`` points, up to ``max_pivots``; blocks hold about ``block`` points.
+
     Result: (row_id, slot 0..k-1, neighbour, distance2); fewer slots if there are fewer other rows.
     """
     spark = points.sparkSession
@@ -94,7 +102,7 @@ def nearest_neighbours(
     rows = points.select(F.col(row_id).cast("long").alias("id"), vector.alias("v"))
     # Equal rows are one point, named by the smallest id.
     distinct = write_stage(rows.groupBy("v").agg(F.min("id").alias("point")), "points")
-    pivots = max(1, min(max_pivots, -(-distinct.count() // block)))
+    pivots = max(1, min(max_pivots, -(-distinct.count() // cell)))
     sample = distinct.orderBy(row_hash(F.col("point"), 7), "point").limit(pivots).collect()
     if not sample:
         return spark.createDataFrame([], f"{row_id} long, slot int, neighbour long, distance2 double")
@@ -176,13 +184,14 @@ def _block_neighbours(visits: DataFrame, base: DataFrame, k: int, block: int) ->
             own = some["point"].to_numpy()
             d = _distances(_matrix(some["v"]), vectors)
             d[own[:, None] == ids[None, :]] = np.inf
-            # Ids ascend along the row, so a stable sort keeps the smaller id on a tie.
-            order = np.argsort(d, axis=1, kind="stable")[:, :k]
-            d = np.take_along_axis(d, order, axis=1)
-            ok = np.isfinite(d)
-            parts.append(pd.DataFrame({
-                "point": np.repeat(own, order.shape[1])[ok.ravel()], "neighbour": ids[order][ok], "distance2": d[ok],
-            }))
+            # Everything up to the k-th smallest distance, ties included; ids ascend along the row.
+            last = min(k, d.shape[1]) - 1
+            row, col = np.nonzero((d <= np.partition(d, last, axis=1)[:, last, None]) & np.isfinite(d))
+            near = d[row, col]
+            order = np.lexsort((col, near, row))
+            row, col, near = row[order], col[order], near[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+            parts.append(pd.DataFrame({"point": own[row[keep]], "neighbour": ids[col[keep]], "distance2": near[keep]}))
         return pd.concat(parts)
 
     keys = ["cell", "block", "grp"]

@@ -65,14 +65,8 @@ def wide(df: DataFrame, names: list[str], vector: str = "features") -> DataFrame
 
 def standard_scale(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - mean) / population standard deviation; a constant column becomes 0."""
-    stats = df.agg(F.struct(
-        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
-        *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)],
-    ).alias("s")).scalar()
-    return df.withColumns({
-        c: (F.col(c) - stats[f"m{i}"]) / F.when(stats[f"s{i}"] == 0, F.lit(1.0)).otherwise(stats[f"s{i}"])
-        for i, c in enumerate(columns)
-    })
+    stats = df.agg(*[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("sd")).alias(c) for c in columns]).first()
+    return df.withColumns({c: (F.col(c) - F.lit(stats[c]["mean"])) / F.lit(stats[c]["sd"] or 1.0) for c in columns})
 
 
 def anova_f(df: DataFrame, columns: list[str], label: str) -> DataFrame:
@@ -80,8 +74,8 @@ def anova_f(df: DataFrame, columns: list[str], label: str) -> DataFrame:
 
     Sums are taken around the overall mean, which keeps them well-conditioned.
     """
-    means = df.agg(F.struct(*[F.avg(c).alias(c) for c in columns]).alias("m")).scalar()
-    centred = df.select(F.col(label).alias("_class"), *[(F.col(c) - means[c]).alias(c) for c in columns])
+    means = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
+    centred = df.select(F.col(label).alias("_class"), *[(F.col(c) - F.lit(means[c])).alias(c) for c in columns])
     groups = centred.unpivot("_class", columns, "feature", "x").groupBy("feature", "_class").agg(
         F.count("x").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("ss")
     )
