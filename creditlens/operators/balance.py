@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from creditlens.functions.hashing import row_hash, unit_hash
 from creditlens.operators.ranges import long_array, running_totals
-from creditlens.session import write_stage
+from creditlens.session import MAX_SMALL_ROWS, write_stage
 
 # --- fixed values ---------------------------------------------------------------------------
 
@@ -136,7 +136,7 @@ def nearest_neighbours(
     visits = placed.select("point", "v", F.explode(cells_to_visit("v")).alias("cell")).select(
         "cell", F.explode(F.sequence(F.lit(0), count_of - 1)).alias("block"), "point", "v"
     )
-    found = _block_neighbours(visits, base, k, block)
+    found = _block_neighbours(visits, base, k, block, int(n_blocks.sum()))
     best = W.partitionBy("point").orderBy("distance2", "neighbour")
     near_points = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
     return _spread_to_rows(rows, distinct, near_points, row_id, k)
@@ -158,14 +158,17 @@ def _describe_cells(placed: DataFrame, centres: np.ndarray, k: int) -> _Cells:
     return out
 
 
-def _block_neighbours(visits: DataFrame, base: DataFrame, k: int, block: int) -> DataFrame:
+def _block_neighbours(visits: DataFrame, base: DataFrame, k: int, block: int, n_blocks: int) -> DataFrame:
     """The k nearest points of one block for each visiting point: k rows per visit, never all pairs.
 
-    Visitors of a block are cut into groups as well; the block goes to each of them.
+    Visitors of a block are cut into groups as well; the block goes to each of them. The table of
+    group counts has one row per block, which decides how it is joined.
     """
     crowds = visits.groupBy("cell", "block").count().select(
         "cell", "block", F.ceil(F.col("count") / block).cast("int").alias("groups")
     )
+    if n_blocks <= MAX_SMALL_ROWS:
+        crowds = F.broadcast(crowds)
     visits = visits.join(crowds, ["cell", "block"]).withColumn(
         "grp", (row_hash(F.col("point"), 17) % F.col("groups")).cast("int")
     ).drop("groups")

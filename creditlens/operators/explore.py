@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from creditlens.functions.hashing import row_hash, unit_hash
+from creditlens.functions.labels import choose
 from creditlens.functions.numbers import missing_to_null
 from creditlens.operators.ranges import exact_quantiles
+from creditlens.session import small_rows
 
 
 def default_rate(df: DataFrame, feature: str, target: str = "target") -> DataFrame:
@@ -104,21 +106,25 @@ def class_density(df: DataFrame, value: str, target: str = "target", max_bins: i
 
 
 def _histogram(df: DataFrame, value: str, by: str | None, bins: Column) -> DataFrame:
+    """Histogram of all rows or of each class.
+
+    The few classes and their limits are read first and used as literals: a join on the class would
+    send all rows to as many tasks as there are classes.
+    """
     keys = [by] if by else []
-    data = df.select(*keys, missing_to_null(F.col(value)).alias("_x")).where("_x is not null")
+    data = df.select(*keys, missing_to_null(F.col(value)).alias("_x")).where(F.col("_x").isNotNull())
+    if by:
+        data = data.where(F.col(by).isNotNull())
     limits = data.groupBy(*keys).agg(
         F.min("_x").alias("lo"), F.max("_x").alias("hi"), bins.cast("long").alias("n_bins")
     )
-    if not keys:
-        s = limits.select(F.struct("lo", "hi", "n_bins")).scalar()
-        placed = data.select(equal_bin(F.col("_x"), s["lo"], s["hi"], s["n_bins"]).alias("bin"))
-    else:
-        # Two classes at most in the reports; Spark picks a map-side join by size.
-        placed = data.join(limits, keys).select(
-            *keys, equal_bin(F.col("_x"), F.col("lo"), F.col("hi"), F.col("n_bins")).alias("bin")
-        )
-    counts = placed.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
-    return _with_empty_bins(counts, keys, limits)
+    rows = [r for r in small_rows(limits, "class limits") if r["n_bins"]]
+    bin_ = choose([
+        (F.col(by) == r[by] if by else F.lit(True), equal_bin(F.col("_x"), F.lit(r["lo"]), F.lit(r["hi"]), F.lit(r["n_bins"])))
+        for r in rows
+    ]) if rows else F.lit(None).cast("long")
+    counts = data.select(*keys, bin_.alias("bin")).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
+    return _with_empty_bins(counts, keys, df.sparkSession.createDataFrame(rows, limits.schema))
 
 
 def _with_empty_bins(counts: DataFrame, keys: list[str], limits: DataFrame) -> DataFrame:
