@@ -12,7 +12,9 @@ from creditlens.functions import bands as N
 from creditlens.functions import labels as L
 from creditlens.functions import numbers as M
 from creditlens.operators import impute as I
+from creditlens.operators.grading import add_grades, default_grades
 from creditlens.plans import preparation as P
+from creditlens.plans.scoring import RESULT_SCHEMA, result_text, with_constants
 from creditlens.sources import records as R
 from creditlens.sources import views as V
 
@@ -181,8 +183,6 @@ SELECT id_aplikasi, plafond, '1999-01-01' AS tgl_mulai, 'XXX' AS status_bukti_ke
   0.0::DOUBLE AS pemasaran, 0.0::DOUBLE AS ratio_likuidasi_agunan_to_plafond, 0 AS target
 FROM v2"""))
 def c22(spark, sf):
-    from creditlens.plans.scoring import with_constants
-
     v2 = P.prepare(V.loan_raw(spark, sf), "id_aplikasi").select("id_aplikasi", "plafond")
     return with_constants(v2)
 
@@ -201,9 +201,6 @@ SELECT row_id, 'OK' AS status, CAST(rating AS VARCHAR) AS rating, round(CAST(pd
   round(score, 6) AS score_number
 FROM graded"""))
 def c24(spark, sf):
-    from creditlens.operators.grading import add_grades, default_grades
-    from creditlens.plans.scoring import RESULT_SCHEMA, result_text
-
     out = result_text(add_grades(V.scored(spark, sf), default_grades(spark)))
     texts = out.select("row_id", F.to_json(F.struct("status", "pd", "score", "rating")).alias("record"))
     return R.parse_json(texts, "record", RESULT_SCHEMA).select(
