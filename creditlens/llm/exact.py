@@ -1,48 +1,37 @@
 """Exact deduplication by a stream with disk-backed keyed state.
 
-The rows arrive as a file stream. Its state has one entry per distinct text and no expiry: the SHA-256 digest, the
+Fingerprints of the rows arrive as a file stream. Its state has one entry per distinct text and no expiry: the SHA-256 digest, the
 number of rows, the largest id and the locator (file and row) of the row with that id. The state lives in RocksDB on
 the executors' disks and in the checkpoint in the shared folder, so a lost executor resumes from there; when the stream
 has read all files, the state is read as a table. Rows are partially aggregated before the shuffle, so a text with a third
-of all rows sends one entry per task. On a hit (a digest with more than one row) the bytes of the whole text are compared
-with those of the row that stays; a difference fails the job. All of it is DataFrame work.
+of all rows sends one entry per task. Rows that hit the same
+digest are compared by the bytes of their whole texts; a difference fails the job. All of it is DataFrame work.
 
 Edge cases: a null text counts as empty; a null id is lower than any other; of equal texts with equal ids the row with
-the largest locator stays; an empty table gives an empty result; columns of the input named like the added ones are
-replaced.
+the largest locator stays; an empty table gives an empty result; other columns are not touched.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditlens.llm.text import lower_ascii
 from creditlens.session import new_path, write_stage
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-ADDED = ["keep_id", "group_size", "kept", "text_sha256"]
 
 
-def _fingerprints(docs: DataFrame, text: str, row_id: str) -> DataFrame:
-    normal = lower_ascii(F.coalesce(F.col(text), F.lit("")))
-    return docs.select(
-        "*",
-        F.sha2(normal.cast("binary"), 256).alias("text_sha256"),
-        F.struct(
-            F.col(row_id).alias("id"), F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"),
-        ).alias("locator"),
-    )
+def _normal(text: str) -> Column:
+    return lower_ascii(F.coalesce(F.col(text), F.lit("")))
 
 
-def _as_glob(path: str) -> str:
-    """The path as a pattern that only fits itself: a stream takes a plain path for a folder, a pattern also for a file."""
-    path = path.rstrip("/")
-    return f"{path[:-1]}[{path[-1]}]"
+def _locator() -> Column:
+    return F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
-def keyed_state(spark: SparkSession, path: str, text: str = "text", row_id: str = "doc_id", bytes_per_batch: str | None = None) -> DataFrame:
-    """Run the stream over the Parquet files at ``path`` and return its state: text_sha256, group_size, keeper.
+def keyed_state(spark: SparkSession, path: str, bytes_per_batch: str | None = None) -> DataFrame:
+    """Run the stream over the fingerprints (id, locator, text_sha256) at ``path``; returns its state: text_sha256, group_size, keeper.
 
     ``bytes_per_batch`` makes the stream commit in several steps; without it one step reads what is there.
     """
@@ -52,6 +41,8 @@ def keyed_state(spark: SparkSession, path: str, text: str = "text", row_id: str
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
         "spark.sql.streaming.minBatchesToRetain": "2",
+        # A store leaves the executor's disk when its task has committed it to the checkpoint.
+        "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     }
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
@@ -61,9 +52,8 @@ def keyed_state(spark: SparkSession, path: str, text: str = "text", row_id: str
         if bytes_per_batch:
             reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
         seen = (
-            _fingerprints(reader.parquet(_as_glob(path)), text, row_id)
-            .groupBy("text_sha256")
-            .agg(F.count("*").alias("group_size"), F.max("locator").alias("keeper"))
+            reader.parquet(path).groupBy("text_sha256")
+            .agg(F.count("*").alias("group_size"), F.max(F.struct("id", "locator")).alias("keeper"))
         )
         stream = (
             seen.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint)
@@ -78,36 +68,35 @@ def keyed_state(spark: SparkSession, path: str, text: str = "text", row_id: str
     )
 
 
-def exact_dedup(spark: SparkSession, path: str, text: str = "text", row_id: str = "doc_id", **options) -> DataFrame:
-    """Every row of the Parquet files at ``path`` with keep_id, group_size, kept and text_sha256."""
+def verdicts(docs: DataFrame, text: str = "text", row_id: str = "doc_id", **options) -> DataFrame:
+    """(id, locator, keep_id, group_size, kept, text_sha256) for every row of ``docs``, a frame read from Parquet files."""
+    spark = docs.sparkSession
+    _check_bytes(docs, text)
+    path = new_path(spark, "exact-rows")
+    docs.select(F.col(row_id).alias("id"), _locator().alias("locator"), F.sha2(_normal(text).cast("binary"), 256).alias("text_sha256")).write.parquet(path)
     # Written, so that rows of a frequent digest meet a plain table and adaptive execution can split them.
-    state = write_stage(keyed_state(spark, path, text, row_id, **options), "exact-keys")
-    docs = spark.read.parquet(path)
-    docs = docs.drop(*[c for c in ADDED if c not in (text, row_id)])
-    rows = _fingerprints(docs, text, row_id)
-    _check_bytes(rows, state, text)
-    columns = [c for c in docs.columns if c not in ADDED]
-    return rows.join(state, "text_sha256").select(
-        *columns,
-        F.col("keeper.id").alias("keep_id"), "group_size",
-        F.col("locator").eqNullSafe(F.col("keeper")).alias("kept"), "text_sha256",
-    )
-
-
-def _check_bytes(rows: DataFrame, state: DataFrame, text: str) -> None:
-    """Fail if a row on a hit differs in any byte from the row that stays."""
-    hits = rows.join(state.filter("group_size > 1"), "text_sha256").select(
-        "text_sha256", lower_ascii(F.coalesce(F.col(text), F.lit(""))).alias("normal"),
-        F.col("locator").eqNullSafe(F.col("keeper")).alias("stays"),
+    state = write_stage(keyed_state(spark, path, **options), "exact-keys")
+    return spark.read.parquet(path).join(state, "text_sha256").select(
+        "id", "locator", F.col("keeper.id").alias("keep_id"), "group_size",
+        F.col("locator").eqNullSafe(F.col("keeper.locator")).alias("kept"), "text_sha256",
     )
-    stays = hits.filter("stays").select("text_sha256", F.col("normal").alias("kept_bytes"))
-    differs = hits.filter("NOT stays").join(stays, "text_sha256").filter("normal != kept_bytes")
-    if not differs.select("text_sha256").isEmpty():
-        raise ValueError("texts with the same SHA-256 digest differ")
 
 
-def exact_dedup_frame(docs: DataFrame, text: str = "text", row_id: str = "doc_id", **options) -> DataFrame:
-    """The same for any frame, which is written to the shared folder first."""
-    path = new_path(docs.sparkSession, "exact-input")
-    docs.write.parquet(path)
-    return exact_dedup(docs.sparkSession, path, text, row_id, **options)
+def _check_bytes(docs: DataFrame, text: str) -> None:
+    """Fail if rows with one digest differ in any byte. Equal texts meet before the shuffle already, so a hot one is small."""
+    normal = docs.select(_normal(text).alias("normal"))
+    different = normal.groupBy("normal").agg(F.count("*").alias("n")).groupBy(F.sha2(F.col("normal").cast("binary"), 256).alias("digest")).count()
+    if not different.filter("count > 1").isEmpty():
+        raise ValueError("different texts have the same SHA-256 digest")
+
+
+def deduplicate(docs: DataFrame, text: str = "text", row_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group of equal texts the one with the largest id."""
+    spark = docs.sparkSession
+    if not docs.inputFiles():
+        path = new_path(spark, "exact-input")
+        docs.write.parquet(path)
+        docs = spark.read.parquet(path)
+    kept = verdicts(docs, text, row_id, **options).filter("kept").select(F.col("locator").alias("kept_locator"))
+    placed = docs.select("*", _locator().alias("row_locator"))
+    return placed.join(kept, F.col("row_locator") == F.col("kept_locator"), "left_semi").select(*docs.columns)

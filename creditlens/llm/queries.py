@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from creditlens.llm import exact, mixing
+from creditlens.llm import bpe, chat, exact, mixing, quality, warc
+
+VOCABULARY = "byte_bpe_50k.json"
 
 QUERIES = {}
 ORACLES = {}
@@ -66,5 +71,76 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
   row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
 FROM normal WINDOW same AS (PARTITION BY text_sha256)""")
 def op5_exact_dedup(spark, sf_dir):
-    found = exact.exact_dedup(spark, f"{sf_dir}/documents.parquet")
-    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    found = exact.verdicts(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op6_bpe")
+def op6_bpe(spark, sf_dir):
+    encoded = bpe.encode_frame(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path(VOCABULARY))
+    return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op7_quality", sql=rf"""
+WITH rows AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+split AS (
+  SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM rows),
+windows AS (
+  SELECT r, i, array_to_string(w[i : i + 4], ' ') AS k FROM split, unnest(range(1, len(w) - 3)) t(i)),
+again AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, k) > 1),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM again) GROUP BY r),
+measured AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS letters,
+    len(list_distinct(w)) AS differing
+  FROM split s LEFT JOIN covered c USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_symbols > 20 * n_words
+    OR (n_dup_lines >= 3 AND 10 * n_dup_lines > n_words) OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+    OR 100 * letters < 40 * n_words OR (n_words >= 100 AND 100 * differing < 5 * n_words)) AS kept
+FROM measured""")
+def op7_quality(spark, sf_dir):
+    judged = quality.judge(documents(spark, sf_dir).select("doc_id", "text"))
+    return judged.select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
+@query("op8_warc", sql="""
+WITH paid AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 AND count(*) OVER (PARTITION BY payload_digest) > 1
+    THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM paid)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM firsts""")
+def op8_warc(spark, sf_dir):
+    folder, index = warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.read_records(folder, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_ESCAPED_SQL = "(length({0}) + len(regexp_extract_all({0}, '" + "|".join(["\\\\", *map(re.escape, chat.CONTROL)]) + "')))"
+_MARKS = len(chat.TURN) + len(chat.TEXT) + len(chat.END) + 1
+OWN_TURN = "</s>[INST] ok [/INST]"
+
+
+@query("op10_chat_format", sql=f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{OWN_TURN}'), (-1, 1, 'assistant', '{OWN_TURN}'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({_ESCAPED_SQL.format("role")} + {_ESCAPED_SQL.format("text")} + {_MARKS})::BIGINT AS formatted_chars
+FROM turns GROUP BY conv_id""")
+def op10_chat_format(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(OWN_TURN).alias("text"),
+    )
+    pieces = chat.format_conversations(rows.unionByName(own), public_tokenizers.path(VOCABULARY))
+    return chat.conversation_digests(pieces).drop("n_tokens")

@@ -23,8 +23,8 @@ CHUNK_BYTES = 2_000_000
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_BYTE_BASE = np.uint64(0x9E3779B97F4A7C15)
-_WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
+_BYTE_BASE = 0x9E3779B97F4A7C15
+_WORD_BASE = 0xD6E8FEB86659FD93
 
 
 def lower_ascii(text: Column) -> Column:
@@ -69,25 +69,33 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+_POWERS: dict[int, np.ndarray] = {}
 
 
-def _inverse(base: np.uint64) -> np.uint64:
-    return np.uint64(pow(int(base), -1, 1 << 64))
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**0 ... base**(n-1) modulo 2**64; kept for the next call."""
+    known = _POWERS.get(base)
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1), base, np.uint64)
+        known[0] = 1
+        known = _POWERS[base] = np.cumprod(known, dtype=np.uint64)
+    return known[:n]
 
 
-def _range_hashes(values: np.ndarray, start: np.ndarray, stop: np.ndarray, base: np.uint64) -> np.ndarray:
+def _range_hashes(values: np.ndarray, start: np.ndarray, stop: np.ndarray, base: int) -> np.ndarray:
     """Hash of values[start:stop] for many ranges: differences of one running sum of values times powers."""
     n = len(values)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * _powers(base, max(n, 1))[:n], dtype=np.uint64, out=sums[1:])
-    back = _powers(_inverse(base), n + 1)
+    np.cumsum(values * _powers(base, n), dtype=np.uint64, out=sums[1:])
+    back = _powers(pow(base, -1, 1 << 64), n + 1)
     return mixed((sums[stop] - sums[start]) * back[start] + (stop - start).astype(np.uint64))
 
 
+def byte_range_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of data[start:stop] of a byte array."""
+    return _range_hashes(data.astype(np.uint64) + np.uint64(1), start, stop, _BYTE_BASE)
+
+
 class Words:
     """The words of some documents: byte ranges in one buffer, and per document its first word."""
 
@@ -109,7 +117,7 @@ class Words:
         return np.repeat(np.arange(len(self.count)), self.count)
 
     def hashes(self) -> np.ndarray:
-        return _range_hashes(self.buffer.astype(np.uint64) + np.uint64(1), self.start, self.stop, _BYTE_BASE)
+        return byte_range_hashes(self.buffer, self.start, self.stop)
 
     def left(self) -> np.ndarray:
         """How many words from each word on its document still has."""
