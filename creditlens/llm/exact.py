@@ -5,7 +5,7 @@ number of rows, the largest id and the locator (file and row) of the row with th
 the executors' disks and in the checkpoint in the shared folder, so a lost executor resumes from there; when the stream
 has read all files, the state is read as a table. Rows are partially aggregated before the shuffle, so a text with a third
 of all rows sends one entry per task. Rows that hit the same
-digest are compared by the bytes of their whole texts; a difference fails the job. All of it is DataFrame work.
+digest are compared by the bytes of their whole texts; a difference fails the job. All of this is DataFrame work.
 
 Edge cases: a null text counts as empty; a null id is lower than any other; of equal texts with equal ids the row with
 the largest locator stays; an empty table gives an empty result; other columns are not touched.
