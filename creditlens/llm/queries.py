@@ -7,7 +7,7 @@ import re
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from creditlens.llm import bpe, chat, exact, mixing, quality, warc
+from creditlens.llm import bpe, chat, exact, mixing, quality, substring, warc
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -35,6 +35,23 @@ _WORDS_SQL = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')):
 _LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+@query("op1_substring_dedup", sql=r"""
+WITH rows AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT r, i, md5(array_to_string(w[i : i + 34], ' ')) AS k FROM rows, unnest(range(1, len(w) - 33)) t(i)),
+again AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY k) > 1),
+covered AS (SELECT DISTINCT r, p FROM (SELECT r, unnest(range(i, i + 35)) AS p FROM again)),
+words AS (SELECT r, i, w[i] AS word FROM rows, unnest(range(1, len(w) + 1)) t(i)),
+kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n
+  FROM words s WHERE NOT EXISTS (SELECT 1 FROM covered c WHERE c.r = s.r AND c.p = s.i) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM rows LEFT JOIN kept USING (r)""")
+def op1_substring_dedup(spark, sf_dir):
+    return substring.remove_repeats(documents(spark, sf_dir))
+
+
 @query("op4_mixing", sql=f"""
 WITH sized AS (SELECT doc_id, source, {_WORDS_SQL} AS size FROM documents),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
