@@ -7,7 +7,7 @@ import re
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from creditlens.llm import bpe, chat, exact, mixing, quality, substring, warc
+from creditlens.llm import bpe, chat, exact, jaccard, mixing, quality, substring, warc
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -52,6 +52,11 @@ def op1_substring_dedup(spark, sf_dir):
     return substring.remove_repeats(documents(spark, sf_dir))
 
 
+@query("op2_jaccard_join")
+def op2_jaccard_join(spark, sf_dir):
+    return jaccard.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 @query("op4_mixing", sql=f"""
 WITH sized AS (SELECT doc_id, source, {_WORDS_SQL} AS size FROM documents),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
