@@ -254,11 +254,12 @@ def encode_frame(docs: DataFrame, vocabulary_path: str, text: str = "text", keep
     spark = docs.sparkSession
     added = ["n_tokens", "ids_sha256", "decoded_sha256", *(["token_ids"] if keep_ids else [])]
     docs = docs.drop(*[c for c in added if c != text])
-    shared = spark.sparkContext.broadcast(Vocabulary.load(vocabulary_path))
+    # Plain values: a broadcast of an own class would need this package on the workers.
+    shared = spark.sparkContext.broadcast(tuple(vars(Vocabulary.load(vocabulary_path)).values()))
     names, index = docs.columns, docs.columns.index(text)
 
     def run(parts):
-        v = shared.value
+        v = Vocabulary(*shared.value)
         for part in parts:
             column = part.column(index)
             sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()

@@ -7,7 +7,7 @@ import re
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from creditlens.llm import bpe, chat, exact, jaccard, mixing, quality, substring, warc
+from creditlens.llm import bpe, chat, exact, jaccard, mixing, quality, substring, toxicity, warc
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -57,6 +57,14 @@ def op2_jaccard_join(spark, sf_dir):
     return jaccard.join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+@query("op3_toxicity")
+def op3_toxicity(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 @query("op4_mixing", sql=f"""
 WITH sized AS (SELECT doc_id, source, {_WORDS_SQL} AS size FROM documents),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
