@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TOXIC_ROWS = 1_500
-ORDINARY_ROWS = 6_000
+ORDINARY_ROWS = 5_000
 THRESHOLD = 0.3
 WINDOW = 64
-GRAM = 6
+GRAM = 5
 LIFT = 4
 SURPRISE = 5
 ORDINARY_BYTES = 64_000
@@ -45,7 +45,7 @@ def _windows(text: bytes) -> list[bytes]:
 
 
 def _grams(text: bytes) -> np.ndarray:
-    """All sequences of six bytes as numbers, A-Z lower-cased."""
+    """All sequences of ``GRAM`` bytes as numbers, A-Z lower-cased."""
     letters = np.frombuffer(text.lower(), np.uint8).astype(np.uint64)
     n = len(letters) - GRAM + 1
     out = np.zeros(max(n, 0), np.uint64)
@@ -65,8 +65,10 @@ def _marked_passages(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
     often = n_toxic >= max(3, len(toxic) // 100)
     gram, n_toxic = gram[often], n_toxic[often]
     n_ordinary = np.zeros(len(gram))
-    for t in ordinary:
-        n_ordinary[np.isin(gram, _grams(t))] += 1
+    for t in ordinary if len(gram) else ():
+        own = np.unique(_grams(t))
+        at = np.minimum(np.searchsorted(gram, own), len(gram) - 1)
+        n_ordinary[at[gram[at] == own]] += 1
     expected = len(toxic) * (n_ordinary + 0.5) / len(ordinary)
     marked = gram[(n_toxic >= LIFT * expected) & (n_toxic - expected >= SURPRISE * np.sqrt(expected + 1))]
     out = []
