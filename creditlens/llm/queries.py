@@ -7,7 +7,7 @@ import re
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from creditlens.llm import bpe, chat, exact, jaccard, mixing, quality, substring, toxicity, warc
+from creditlens.llm import bpe, chat, exact, jaccard, mixing, pii, quality, substring, toxicity, warc
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -152,6 +152,15 @@ def op8_warc(spark, sf_dir):
     return warc.read_records(folder, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op9_pii")
+def op9_pii(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, lambda x: x == F.lit(pii.KINDS.index(k)))).cast("long").alias(f"n_{k}") for k in pii.KINDS[:4]]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 _ESCAPED_SQL = "(length({0}) + len(regexp_extract_all({0}, '" + "|".join(["\\\\", *map(re.escape, chat.CONTROL)]) + "')))"
 _MARKS = len(chat.TURN) + len(chat.TEXT) + len(chat.END) + 1
 OWN_TURN = "</s>[INST] ok [/INST]"
