@@ -28,6 +28,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,7 +106,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, bo
 
 def _batches(part: pa.RecordBatch, limit: int):
     values = part.column("text")
-    sizes = np.array([len(x) for x in values.to_pylist()], np.int64)
+    sizes = pc.binary_length(values).to_numpy(zero_copy_only=False)
     for start, stop in chunks(sizes, limit):
         yield start, values.slice(start, stop - start).to_pylist()
 
@@ -267,4 +268,6 @@ def one_per_component(docs: DataFrame, text: str = "text", row_id: str = "doc_id
     found = join(docs, text, row_id, **options)
     grouped = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min_by(F.struct(*KEY), F.struct(F.col("doc_id").isNull(), "doc_id", *KEY)).alias("place"))
     kept = grouped.select("place.*").unionByName(found.filter("n_shingles = 0").select(*KEY))
-    return with_row_key(docs).join(kept, KEY, "left_semi").select(*docs.columns)
+    own = ["one_per_component_file", "one_per_component_row"]
+    kept = kept.withColumnsRenamed(dict(zip(KEY, own)))
+    return with_row_key(docs, *own).join(kept, own, "left_semi").select(*docs.columns)

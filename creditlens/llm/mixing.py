@@ -67,15 +67,15 @@ def with_copies(docs: DataFrame, text: str = "text", row_id: str = "doc_id", sou
     docs = docs.drop("size", "source_size", "target", "copies").withColumn("size", word_count(F.col(text)))
     totals = docs.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"))
     # Written, so that the planner knows its size and broadcasts it only if it is small.
-    targets = write_stage(source_targets(totals), "targets").withColumnsRenamed({"source": "mix_source"})
-    joined = docs.join(targets, docs[source].eqNullSafe(targets["mix_source"]), "left").drop("mix_source")
+    targets = write_stage(source_targets(totals), "targets").withColumnRenamed("source", "named_source")
+    joined = docs.join(targets, docs[source].eqNullSafe(targets["named_source"]), "left").drop("named_source")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST_REPEATS)))).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     return joined.withColumn("copies", (whole + (draw(F.col(row_id), seed) < rate - whole).cast("long")).cast("long"))
 
 
-def mix(docs: DataFrame, **names) -> DataFrame:
-    """The mixed corpus: the rows of ``docs``, each as often as the mix takes it."""
-    columns = docs.columns
-    taken = with_copies(docs, **names).filter("copies > 0")
-    return taken.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*columns)
+def mix(docs: DataFrame, text: str = "text", row_id: str = "doc_id", source: str = "source", seed: str = SEED) -> DataFrame:
+    """The mixed corpus: the rows of ``docs`` with their own columns only, each as often as the mix takes it."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *[F.col(c).alias(f"mix_{c}") for c in (text, row_id, source)])
+    taken = with_copies(rows, f"mix_{text}", f"mix_{row_id}", f"mix_{source}", seed).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

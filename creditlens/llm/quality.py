@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -145,7 +146,7 @@ MEASURES = {f.__name__: f for f in (n_words, word_chars, n_symbols, n_dup_lines,
 
 
 def _batches(texts: pa.Array) -> Iterator[tuple[int, Batch]]:
-    sizes = np.diff(np.frombuffer(texts.buffers()[1], np.int32 if pa.types.is_binary(texts.type) else np.int64)[texts.offset : texts.offset + len(texts) + 1])
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     for start, stop in chunks(sizes):
         yield start, Batch([x or b"" for x in texts.slice(start, stop - start).to_pylist()])
 

@@ -28,6 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ from creditlens.session import write_stage
 WINDOW = 35
 PREFIX = 8
 GROUP_LIMIT = 4_000
-BIN_ROWS = 40_000
+BIN_ROWS = 20_000
 PLACES = WINDOW - PREFIX + 1
 
 _PLACE_BITS = np.uint64((1 << 28) - 1)
@@ -68,7 +69,7 @@ def anchors_of(words: Words, hashes: np.ndarray, window: int = WINDOW, prefix: i
 def _texts(part: pa.RecordBatch, column: str):
     """Chunks (start, texts) of a batch."""
     values = part.column(column)
-    sizes = np.array([len(x) if x is not None else 0 for x in values.to_pylist()], np.int64)
+    sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
     for start, stop in chunks(sizes):
         yield start, [x or b"" for x in values.slice(start, stop - start).to_pylist()]
 
@@ -159,9 +160,15 @@ def _whole_windows(parts):
             of = np.repeat(doc, windows)
             place = np.repeat(start - (stop - windows), windows) + np.arange(stop[-1])
             rows = words.first[of] + place
+            # One row for all places of a window in a document.
+            order = np.lexsort((place, two[rows], one[rows], of))
+            of, place, one, two = of[order], place[order], one[rows][order], two[rows][order]
+            first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(place)).astype(np.int32)), pa.array(place.astype(np.int32)))
+            of = at + of[first]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (one[rows].view(np.int64), two[rows].view(np.int64), file[at + of], no[at + of], place.astype(np.int32))],
-                ["one", "two", *KEY, "start"],
+                [pa.array(one[first].view(np.int64)), pa.array(two[first].view(np.int64)), pa.array(file[of]), pa.array(no[of]), places],
+                ["one", "two", *KEY, "places"],
             )
 
 
@@ -277,11 +284,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
         .withColumn("bin", F.pmod(F.xxhash64("prefix"), F.lit(bins)))
         .groupBy("bin").applyInArrow(_build_subtrees, "row_file long, row_no long, first int, stop int")
     )
-    windows = hits.mapInArrow(_whole_windows, "one long, two long, row_file long, row_no long, start int")
+    windows = hits.mapInArrow(_whole_windows, "one long, two long, row_file long, row_no long, places array<int>")
     # Written, so that a frequent window meets a plain table and adaptive execution can split its places.
-    twice = write_stage(windows.groupBy("one", "two").count().filter("count > 1").drop("count"), "windows")
-    whole = windows.join(twice, ["one", "two"]).select(*KEY, F.col("start").alias("first"), (F.col("start") + WINDOW).cast("int").alias("stop"))
-    ranges = short.unionByName(whole).groupBy(*KEY).agg(F.collect_list(F.struct("first", "stop")).alias("ranges"))
+    twice = write_stage(windows.groupBy("one", "two").agg(F.sum(F.size("places")).alias("n")).filter("n > 1").drop("n"), "windows")
+    whole = windows.join(twice, ["one", "two"]).select(*KEY, F.transform("places", lambda x: F.struct(x.alias("first"), (x + WINDOW).alias("stop"))).alias("ranges"))
+    short = short.select(*KEY, F.array(F.struct("first", "stop")).alias("ranges"))
+    ranges = short.unionByName(whole).groupBy(*KEY).agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     finished = split.filter("anchors IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
     cleaned = (
         split.filter("anchors IS NOT NULL").select(*KEY, "doc_id", "n_words", "text").join(ranges, KEY, "left")

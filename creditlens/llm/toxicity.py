@@ -212,3 +212,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     schema = T.StructType(list(docs.schema.fields)).add("score", T.DoubleType()).add("predicted", T.IntegerType())
     return docs.mapInArrow(run, schema)
+
+
+def keep_ordinary(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with their own columns only."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("scored_text"))
+    return score(rows, model, "scored_text").filter("predicted = 0").select("row.*")
