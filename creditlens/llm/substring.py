@@ -16,7 +16,7 @@ the same one. The suffixes of all texts are taken word by word:
    node, so its leaves are only counted (partial sums first, so that a window with a third of all rows is no load) and joined back.
 5. Removal. The covered words of each document are dropped.
 
-Words are compared by 64-bit hashes, whole windows of step 4 by two of them.
+Words are compared by 64-bit hashes, whole windows of step 4 by two of them; all places of such a window in a document are one row.
 
 Edge cases: a null text has no words; texts below 35 words keep all; repeated rows count as other places, so both lose
 all their words if long enough; a very long text is one unit of work; an empty table gives an empty result; other columns are not used, a null id stays.
