@@ -33,7 +33,7 @@ def _locator() -> Column:
 def keyed_state(spark: SparkSession, path: str, bytes_per_batch: str | None = None) -> DataFrame:
     """Run the stream over the fingerprints (id, locator, text_sha256) at ``path``; returns its state: text_sha256, group_size, keeper.
 
-    ``bytes_per_batch`` makes the stream commit in several steps; without it one step reads what is there.
+    ``bytes_per_batch`` (a number as text) makes the stream commit in several steps; without it one step reads what is there.
     """
     checkpoint = new_path(spark, "exact-state")
     settings = {
