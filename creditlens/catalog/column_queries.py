@@ -146,7 +146,12 @@ _ORDERED = {
 @query("c20_ordinals", Q.with_view("v0", f"""
 SELECT id_aplikasi, {", ".join(f"{Q.case(k, o)} AS {k}" for k, o in _ORDERED.items())},
   {Q.case(band_sql("usia", N.AGE_BANDS), N.AGE_ORDER)} AS usia,
-  {Q.case(band_sql("jangka_waktu", N.TERM_BANDS), N.TERM_ORDER)} AS jangka_waktu
+  {Q.case(band_sql("jangka_waktu", N.TERM_BANDS), N.TERM_ORDER)} AS jangka_waktu,
+  {Q.case(band_sql("jumlah_anak_dlm_tanggungan", N.CHILDREN_BANDS), N.CHILDREN_ORDER)} AS jumlah_anak_dlm_tanggungan,
+  {Q.case(band_sql("lama_bekerja", N.TENURE_FINE_BANDS), N.TENURE_ORDER)} AS lama_bekerja,
+  CASE pendidikan WHEN 'S1/S2/S3' THEN 3 WHEN 'SD/SMP/SMU/SMK' THEN 4 END AS pendidikan,
+  CASE kepemilikan_tempat_tinggal WHEN 'MilikSendiri' THEN 1 WHEN 'RumahDinas' THEN 2 WHEN 'SewaKontrak' THEN 4 END
+    AS kepemilikan_tempat_tinggal
 FROM v0"""))
 def c20(spark, sf):
     v0 = P.stage_clean(V.loan_raw(spark, sf), "id_aplikasi")
@@ -154,6 +159,14 @@ def c20(spark, sf):
         "id_aplikasi", *[N.ordinal(c(k), o).alias(k) for k, o in _ORDERED.items()],
         N.ordinal(N.band(c("usia"), N.AGE_BANDS), N.AGE_ORDER).alias("usia"),
         N.ordinal(N.band(c("jangka_waktu"), N.TERM_BANDS), N.TERM_ORDER).alias("jangka_waktu"),
+        N.ordinal(N.band(c("jumlah_anak_dlm_tanggungan"), N.CHILDREN_BANDS), N.CHILDREN_ORDER).alias("jumlah_anak_dlm_tanggungan"),
+        N.ordinal(N.band(c("lama_bekerja"), N.TENURE_FINE_BANDS), N.TENURE_ORDER).alias("lama_bekerja"),
+        # The education and home orders name raw levels; the cleaned labels are mapped to these first.
+        N.ordinal(N.map_values(c("pendidikan"), {"S1/S2/S3": "S1", "SD/SMP/SMU/SMK": "SD-SMA"}), N.EDUCATION_ORDER).alias("pendidikan"),
+        N.ordinal(
+            N.map_values(c("kepemilikan_tempat_tinggal"), {"MilikSendiri": "status0", "RumahDinas": "status1", "SewaKontrak": "status3"}),
+            N.HOME_ORDER,
+        ).alias("kepemilikan_tempat_tinggal"),
     )
 
 
@@ -229,9 +242,10 @@ def d2(spark, sf):
 
 @query("d3_mode_fill", Q.with_view("clean", f"""
 SELECT id_aplikasi, coalesce(tujuan_penggunaan, {Q.mode_of("tujuan_penggunaan")}) AS tujuan_penggunaan,
-  coalesce(jenis_pekerjaan, {Q.mode_of("jenis_pekerjaan")}) AS jenis_pekerjaan FROM complete"""))
+  coalesce(jenis_pekerjaan, {Q.mode_of("jenis_pekerjaan")}) AS jenis_pekerjaan,
+  coalesce(jabatan, {Q.mode_of("jabatan")}) AS jabatan FROM complete"""))
 def d3(spark, sf):
-    columns = ["tujuan_penggunaan", "jenis_pekerjaan"]
+    columns = ["tujuan_penggunaan", "jenis_pekerjaan", "jabatan"]
     return I.mode_fill(_cleaned(spark, sf).select("id_aplikasi", *columns), columns)
 
 

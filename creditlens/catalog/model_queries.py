@@ -18,15 +18,12 @@ from creditlens.operators import grading as G
 from creditlens.operators import split as D
 from creditlens.plans import preparation as P
 from creditlens.plans import scoring as R
-from creditlens.plans.training import train
+from creditlens.plans.training import train, training_rows
 from creditlens.session import new_path, write_stage
 from creditlens.sources import records
 from creditlens.sources import views as V
 from creditlens.streaming.scoring import start_scoring
 
-# Boosting rounds of the registered queries; the library default is higher.
-ROUNDS = 10
-
 # Trained once per application and data folder, as a scoring job would load its models once.
 _TRAINED: dict = {}
 
@@ -44,7 +41,7 @@ def _trained(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _TRAINED:
         rows = write_stage(_input(spark, sf), "model-input")
-        _TRAINED[key] = (train(rows, "id_aplikasi", rounds=ROUNDS), rows)
+        _TRAINED[key] = (train(rows, "id_aplikasi"), rows)
     return _TRAINED[key]
 
 
@@ -110,7 +107,7 @@ def h4(spark, sf):
     return spark.createDataFrame(list(enumerate(names)), "position int, name string")
 
 
-_SCALED = ["plafond", "usia", "simpanan", "jangka_waktu"]
+_SCALED = list(S.NUMERIC_FEATURES)
 
 
 @query("h5_standard_scale", Q.with_view("model_input", "SELECT id_aplikasi, " + ", ".join(
@@ -120,17 +117,24 @@ def h5(spark, sf):
     return rounded(E.standard_scale(_input(spark, sf).select("id_aplikasi", *_SCALED), _SCALED), *_SCALED)
 
 
+_ONE_HOT = {f"{c}_{v}": f"CAST(CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS DOUBLE)" for c, vs in _LEVELS.items() for v in vs}
+_MATRIX = {**_ONE_HOT, **{c: c for c in S.NUMERIC_FEATURES}}
+
+
 @query("h6_best_features", Q.with_view("model_input", f"""
 SELECT feature, round(f, 6) AS f_score FROM (
   SELECT feature, (sum(n * (m - mm) * (m - mm)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))) AS f FROM (
     SELECT feature, target, count(*) AS n, avg(x) AS m, var_pop(x) AS v, any_value(mm) AS mm
     FROM (SELECT *, avg(x) OVER (PARTITION BY feature) AS mm FROM (
-      {" UNION ALL ".join(f"SELECT '{c}' AS feature, target, {c} AS x FROM labelled" for c in S.NUMERIC_FEATURES)}))
+      {" UNION ALL ".join(f"SELECT '{c}' AS feature, target, {x} AS x FROM labelled" for c, x in _MATRIX.items())}))
     GROUP BY feature, target) GROUP BY feature)
-ORDER BY f DESC, feature LIMIT 5""", LABELLED))
+ORDER BY f DESC, feature LIMIT 42""", LABELLED))
 def h6(spark, sf):
-    rows = write_stage(_labelled(spark, sf, *S.NUMERIC_FEATURES), "labelled")
-    return rounded(E.best_features(rows, S.NUMERIC_FEATURES, "target", 5), "f_score")
+    rows = write_stage(_labelled(spark, sf), "labelled")
+    model = E.fit_encoder(rows)
+    names = E.feature_names(model)
+    matrix = write_stage(E.wide(E.encode(model, rows).select("target", "features"), names), "matrix")
+    return rounded(E.best_features(matrix, names, "target"), "f_score")
 
 
 # Balance -------------------------------------------------------------------------------------
@@ -156,7 +160,7 @@ _NEAREST = f"""nearest AS (
   SELECT * FROM (SELECT a.id_aplikasi AS parent, b.id_aplikasi AS neighbour, {_DISTANCE} AS distance2,
     CAST(row_number() OVER (PARTITION BY a.id_aplikasi ORDER BY {_DISTANCE}, b.id_aplikasi) - 1 AS INTEGER) AS slot
     FROM minority a JOIN minority b ON a.id_aplikasi <> b.id_aplikasi) WHERE slot < 5)"""
-_DRAW = "(parent % 2147483647 + copy * 7919)"
+_DRAW = f"({Q.row_hash('parent', 47)} + copy)"
 _COPIES = f"""sizes AS (SELECT CAST(floor(count(*) FILTER (target = 0) * (0.15::DOUBLE / (1 - 0.15::DOUBLE))) AS BIGINT)
     - count(*) FILTER (target = 1) AS wanted, count(*) FILTER (target = 1) AS n1 FROM labelled),
 copies AS (SELECT parent, range AS copy FROM (
@@ -229,9 +233,9 @@ def h12(spark, sf):
 @query("h13_forest_ensemble_pd")
 def h13(spark, sf):
     _, rows = _encoded(spark, sf)
-    train_rows = write_stage(D.add_fold(rows.where("split = 'train'"), "id_aplikasi", 2), "forest")
+    train_rows = write_stage(D.add_fold(rows.where("split = 'train'"), "id_aplikasi"), "forest")
     forest = RandomForestClassifier(labelCol="target", numTrees=M.FOREST_TREES, seed=1)
-    models = [forest.fit(train_rows.where(F.col("fold") != f)) for f in range(2)]
+    models = [forest.fit(train_rows.where(F.col("fold") != f)) for f in range(D.FOLDS)]
     return M.ensemble_probability(rows, models, "mean").drop("features")
 
 
@@ -259,9 +263,9 @@ def h17(spark, sf):
 
 @query("h18_forest_grid_search")
 def h18(spark, sf):
-    _, rows = _encoded(spark, sf, "train")
-    rows = B.class_weights(D.add_fold(rows, "id_aplikasi"), "target")
-    table, _ = M.forest_grid_search(write_stage(rows, "grid"), D.FOLDS)
+    scorer, rows = _encoded(spark, sf, "train")
+    rows = training_rows(rows.drop("split"), scorer.feature_names, "id_aplikasi", oversample_before_folds=True)
+    table, _ = M.forest_grid_search(B.class_weights(rows, "target"), D.FOLDS)
     return table
 
 
@@ -309,4 +313,4 @@ def s6(spark, sf):
     source, sink, checkpoint = (new_path(spark, n) for n in ("requests", "results", "stream"))
     _requests(spark, sf).select("record").write.text(source)
     start_scoring(spark, source, sink, checkpoint, scorer, G.default_grades(spark), once=True).awaitTermination()
-    return spark.read.schema(R.RESULT_SCHEMA).json(sink)
+    return spark.read.schema("request string, " + ", ".join(f"{f.name} string" for f in R.RESULT_SCHEMA)).json(sink)

@@ -367,7 +367,7 @@ def g5(spark, sf):
     return rounded(W.woe_single(_documents(spark, sf), "source", "toxic"), "woe", "iv")
 
 
-_G6_FEATURES = ["jangka_waktu", "plafond", "simpanan", "usia", "ratio_pendatapan_to_angsuran", "punya_usaha_sampingan"]
+_G6_FEATURES = list(S.NUMERIC_FEATURES)
 
 
 def _cells(features: list[str], cut: list[str]) -> str:
@@ -399,17 +399,15 @@ def g6_iv(spark, sf):
     return rounded(W.information_values(W.woe_table(_labelled(spark, sf, *_G6_FEATURES), _G6_FEATURES, "target")), "iv")
 
 
-_G7_FEATURES = ["jangka_waktu", "punya_usaha_sampingan", "debitur_lama"]
-
-
 @query("g7_woe_replace", Q.with_view("model_input", f"""
-SELECT id_aplikasi, {", ".join(f"round(max(woe) FILTER (cells.feature = '{f}'), 6) AS {f}" for f in _G7_FEATURES)}
+SELECT id_aplikasi, {", ".join(f"round(max(woe) FILTER (cells.feature = '{f}'), 6) AS {f}" for f in _G6_FEATURES)}
 FROM cells JOIN weights ON cells.feature = weights.feature AND cells.value = weights.value GROUP BY id_aplikasi""",
-                                     LABELLED, _cells(_G7_FEATURES, []), _limited("feature, value", "cells", "target")))
+                                     LABELLED, _CELLS, _limited("feature, value", "cells", "target")))
 def g7(spark, sf):
-    rows = write_stage(_labelled(spark, sf, *_G7_FEATURES), "labelled")
-    table = write_stage(W.woe_table(rows, _G7_FEATURES, "target"), "woe")
-    return rounded(W.woe_replace(rows, _G7_FEATURES, table).drop("target"), *_G7_FEATURES)
+    # Continuous features are cut as in the table, so that their values are found there.
+    rows = write_stage(B.discretise(_labelled(spark, sf, *_G6_FEATURES), _G6_FEATURES), "labelled")
+    table = write_stage(W.woe_table(rows, _G6_FEATURES, "target"), "woe")
+    return rounded(W.woe_replace(rows, _G6_FEATURES, table).drop("target"), *_G6_FEATURES)
 
 
 @query("g8_combined_iv", f"""

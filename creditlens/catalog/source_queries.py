@@ -20,12 +20,12 @@ from creditlens.sources import views as V
 
 
 @query("a1_catalog_scan", """
-SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'
+SELECT o_orderkey, o_custkey, o_totalprice FROM orders
 """)
 def a1(spark, sf):
     V.table(spark, sf, "orders").createOrReplaceTempView("creditlens_orders")
     df = A.read_table(spark, "creditlens_orders")
-    return df.where(F.col("o_orderstatus") == "F").select("o_orderkey", "o_custkey", "o_totalprice")
+    return df.select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 _CSV_SCHEMA = T.StructType([
@@ -100,14 +100,12 @@ def a5_requests(spark, sf):
     return parsed.withColumns({f: F.round(f, 6) for f in doubles})
 
 
-@query("a6_saved_encoders", Q.with_view("model_input", """
-SELECT id_aplikasi, CAST(dense_rank() OVER (ORDER BY jenis_kelamin) - 1 AS INTEGER) AS jenis_kelamin,
-  CAST(dense_rank() OVER (ORDER BY pendidikan) - 1 AS INTEGER) AS pendidikan
-FROM model_input
-"""))
+@query("a6_saved_encoders", Q.with_view("model_input", "SELECT id_aplikasi, " + ", ".join(
+    f"CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS INTEGER) AS {c}" for c in S.CATEGORICAL_FEATURES
+) + " FROM model_input"))
 def a6(spark, sf):
     rows = P.model_input(P.prepare(V.loan_raw(spark, sf), "id_aplikasi"), "id_aplikasi")
-    columns = ["jenis_kelamin", "pendidikan"]
+    columns = list(S.CATEGORICAL_FEATURES)
     path = new_path(spark, "encoder")
     E.fit_label_encoder(rows, columns).write().overwrite().save(path)
     return E.label_encode(PipelineModel.load(path), rows, columns).select("id_aplikasi", *columns)
@@ -151,11 +149,14 @@ def b3(spark, sf):
     return B.reorder(raw, first=["tgl_mulai"], last=["kolektibilitas"])
 
 
-@query("b4_feature_list", Q.with_view("v2", f"SELECT id_aplikasi, {', '.join(S.FEATURES[:6])} FROM v2"))
+@query("b4_feature_list", Q.with_view("v2", "SELECT id_aplikasi, " + ", ".join(
+    f"round(CAST({c} AS DOUBLE), 6) AS {c}" if c in S.NUMERIC_FEATURES else c for c in S.FEATURES
+) + " FROM v2"))
 def b4(spark, sf):
     v2 = P.prepare(V.loan_raw(spark, sf), "id_aplikasi")
     features = B.feature_columns(v2, ["id_aplikasi", S.DATE_COLUMN, S.TARGET, *S.IGNORED_FEATURES])
-    return v2.select("id_aplikasi", *features[:6])
+    numbers = {c: F.round(F.col(c).cast("double"), 6) for c in features if c in S.NUMERIC_FEATURES}
+    return v2.select("id_aplikasi", *features).withColumns(numbers)
 
 
 @query("b5_row_filters", Q.with_view("v1", """
@@ -181,15 +182,12 @@ def b6(spark, sf):
     return B.drop_incomplete(rows, ["angsuran", "plafond"])
 
 
-_PROFILED = ["debitur_baru", "pendidikan", "plafond", "simpanan", "jangka_waktu", "kolektibilitas"]
-
-
 @query("b7_null_profile", Q.with_view("loan_raw", " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, count({c}) AS n_values, count(*) AS n_rows, count({c}) < count(*) AS has_nulls FROM loan_raw"
-    for c in _PROFILED
+    for c in V.LOAN_COLUMNS
 )))
 def b7(spark, sf):
-    return B.null_profile(V.loan_raw(spark, sf).select(_PROFILED))
+    return B.null_profile(V.loan_raw(spark, sf))
 
 
 @query("b8_cast", """

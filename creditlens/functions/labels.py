@@ -35,8 +35,8 @@ DIPLOMA_PARTS = ["D3", "DIII", "D2", "DII", "D1", "DI", "DIPLOMA"]
 DEGREE = "S1/S2/S3"
 DEGREE_NAMES = ["Sarjana", "Master", "Doktoral"]
 
-# Whitespace removed at either end of a text.
-BLANKS = " \t\n\r\x0b\x0c"
+# Whitespace removed at either end of a text: all that Unicode has, and the four separators of ASCII.
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 # --- expressions ----------------------------------------------------------------------------
 

@@ -19,8 +19,8 @@ def missing_to_null(c: Column) -> Column:
 
 
 def parse_day_first(c: Column) -> Column:
-    """Text dd-MM-yyyy to a date."""
-    return F.to_date(c, "dd-MM-yyyy")
+    """Text dd-MM-yyyy to a date; null if it is none."""
+    return F.try_to_timestamp(c, F.lit("dd-MM-yyyy")).cast("date")
 
 
 def whole_years(start: Column, end: Column) -> Column:

@@ -82,6 +82,15 @@ def _reachable(points: np.ndarray, cells: _Cells, k: int) -> list[np.ndarray]:
     return [np.flatnonzero(row).astype("int32") for row in near]
 
 
+def _refuse_gaps(rows: DataFrame, features: list[str]) -> None:
+    """A distance to a row with a null, NaN or infinite feature has no meaning."""
+    bad = [F.count_if(F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(True))).alias(f) for f, x in
+           ((f, F.col(f).cast("double")) for f in features)]
+    gaps = {f: n for f, n in rows.agg(*bad).first().asDict().items() if n}
+    if gaps:
+        raise ValueError(f"features without a finite value, and in how many rows: {gaps}")
+
+
 def nearest_neighbours(
     points: DataFrame,
     row_id: str,
@@ -98,6 +107,7 @@ def nearest_neighbours(
     Result: (row_id, slot 0..k-1, neighbour, distance2); fewer slots if there are fewer other rows.
     """
     spark = points.sparkSession
+    _refuse_gaps(points, features)
     vector = F.array(*[F.col(f).cast("double") for f in features])
     rows = points.select(F.col(row_id).cast("long").alias("id"), vector.alias("v"))
     # Equal rows are one point, named by the smallest id.
@@ -111,20 +121,24 @@ def nearest_neighbours(
 
     @F.pandas_udf("struct<cell:int,distance:double>")
     def home_cell(v: pd.Series) -> pd.DataFrame:
-        d = _distances(_matrix(v), shared.value)
-        cell = d.argmin(axis=1)
-        return pd.DataFrame({"cell": cell.astype("int32"), "distance": np.sqrt(d[np.arange(len(d)), cell])})
+        cells, near = [], []
+        for i in range(0, len(v), 512):
+            d = _distances(_matrix(v.iloc[i:i + 512]), shared.value)
+            cells.append(d.argmin(axis=1))
+            near.append(np.sqrt(d[np.arange(len(d)), cells[-1]]))
+        return pd.DataFrame({"cell": np.concatenate(cells).astype("int32"), "distance": np.concatenate(near)})
 
     placed = write_stage(
         distinct.withColumn("home", home_cell("v")).select("point", "v", "home.cell", "home.distance"), "cells"
     )
     cells = _describe_cells(placed, centres, k)
     n_blocks = np.maximum(1, -(-cells.sizes // block)).astype("int32")
-    shared_cells = spark.sparkContext.broadcast(cells)
+    # Plain arrays: a broadcast of an own class would need this package on the workers.
+    shared_cells = spark.sparkContext.broadcast(tuple(vars(cells).values()))
 
     @F.pandas_udf("array<int>")
     def cells_to_visit(v: pd.Series) -> pd.Series:
-        c = shared_cells.value
+        c = _Cells(*shared_cells.value)
         parts = [_reachable(_matrix(v.iloc[i:i + 512]), c, k) for i in range(0, len(v), 512)]
         return pd.Series([cell for part in parts for cell in part])
 
@@ -264,7 +278,8 @@ def synthetic_minority(
             F.sequence(F.lit(0), F.lit(per_row) + F.col("one_more")), lambda i: i < F.lit(per_row) + F.col("one_more")
         )).alias("copy"),
     )
-    draw = F.col("parent") % 2147483647 + F.col("copy") * 7919
+    # The id is hashed before the copy number joins in, so that draws of ids at any distance differ.
+    draw = row_hash(F.col("parent"), seed + 5) + F.col("copy")
     drawn = copies.select(
         "parent", "copy", (row_hash(draw, seed + 1) % k).cast("int").alias("slot"), unit_hash(draw, seed + 2).alias("u")
     )

@@ -23,6 +23,7 @@ MAX_DEPTH = 5
 ROW_SHARE = 0.75
 COLUMN_SHARE = "0.9"
 ROUNDS = 100
+MAX_BINS = 256
 FOREST_TREES = 10
 FOREST_LEAF_SIZES = [5, 10]
 
@@ -45,7 +46,7 @@ def fit_folds(
     learner = GBTClassifier(
         labelCol=label, featuresCol=features, maxIter=rounds, maxDepth=MAX_DEPTH, stepSize=STEP_SIZE,
         subsamplingRate=ROW_SHARE, featureSubsetStrategy=COLUMN_SHARE, validationIndicatorCol="held_out",
-        validationTol=0.0, seed=seed,
+        validationTol=0.0, maxBins=MAX_BINS, seed=seed,
     )
     if weight:
         learner = learner.setWeightCol(weight)

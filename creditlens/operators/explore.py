@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -132,7 +135,10 @@ def _with_empty_bins(counts: DataFrame, keys: list[str], limits: DataFrame) -> D
         *keys, "lo", "hi", "n_bins", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bins") - 1)).alias("bin")
     )
     width = (F.col("hi") - F.col("lo")) / F.col("n_bins")
-    return spine.join(counts, [*keys, "bin"], "left").select(
+    counts = counts.withColumnsRenamed({k: f"_{k}" for k in [*keys, "bin"]})
+    # A null class is a class like the others.
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*keys, "bin"]])
+    return spine.join(counts, same, "left").select(
         *keys,
         "bin",
         (F.col("lo") + F.col("bin") * width).alias("lo"),

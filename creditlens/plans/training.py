@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from creditlens import schemas as S
+from creditlens.functions.hashing import row_hash
 from creditlens.operators import balance, encode, ensemble, split
 from creditlens.session import write_stage
 
@@ -55,7 +56,7 @@ def training_rows(
     rows = write_stage(encode.wide(split.add_fold(encoded, row_id, folds), columns), "train")
     real = rows.select(*columns, S.TARGET, "fold", F.array("fold").alias("blocked"))
     new = balance.synthetic_minority(rows, row_id, columns, S.TARGET)
-    draw = F.col("parent") * 31 + F.col("copy")
+    draw = row_hash(F.col("parent"), 48) + F.col("copy")
     if oversample_before_folds:
         new = split.add_fold(new.withColumn("_draw", draw), "_draw", folds)
         new = new.select(*columns, S.TARGET, "fold", F.array("fold").alias("blocked"))

@@ -26,6 +26,15 @@ JOB_TEXTS = ["Petani ", "Pedagang  ", "Nelayan", "Guru"]
 GENDER_CODES = ["M", "L", "F", "W"]
 HOME_CODES = [0, 1, 3]
 
+# The columns of the raw application table.
+LOAN_COLUMNS = (
+    "no_rekening cif id_aplikasi id_kredit fid_cif_las tp_produk debitur_baru status_nikah tgl_mulai tanggal_lahir "
+    "tanggal_mulai_bekerja status_bukti_kepemilikan_agunan jenis_kelamin kepemilikan_tempat_tinggal tujuan_penggunaan "
+    "pendidikan angsuran plafond domisili jumlah_anak_dlm_tanggungan jenis_pekerjaan kolektibilitas lama_usaha "
+    "usaha_sampingan pendapatan_netto_sampingan pendapatan_netto_utama pemasaran simpanan nilai_likuidasi jangka_waktu "
+    "bln_mulai suku_bunga bidang_pekerjaan jabatan region baru_perpanjangan jenis_fasilitas"
+).split()
+
 SPLIT_SEED = 100
 TEST_SHARE = 0.3
 
