@@ -6,6 +6,7 @@ import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from creditlens import schemas as S
 from creditlens.operators import balance as B
@@ -182,3 +183,21 @@ def test_stream_equals_batch(spark, trained):
     want = R.result_text(R.score_records(lines, "value", scorer, G.default_grades(spark))).collect()
     key = lambda rows: sorted(tuple(str(v) for v in r) for r in rows)
     assert key(got) == key(want * 2)
+
+
+def test_table_with_bad_rows_is_scored(spark, trained):
+    scorer, _ = trained
+    rows = [{**REQUEST, "i": 0}, {**REQUEST, "i": 1, "usia": None}, {**REQUEST, "i": 2, "jenis_kelamin": "Z"}]
+    df = spark.createDataFrame(rows, StructType([*S.REQUEST_SCHEMA.fields, StructField("i", IntegerType())]))
+    got = {r["i"]: r for r in R.score_applications(df, scorer, G.default_grades(spark), keep=["i"]).collect()}
+    assert [got[i]["error"] for i in range(3)] == [None, "missing number", "unknown label"]
+    assert got[0]["pd"] is not None and got[1]["pd"] is None and got[2]["rating"] is None
+
+
+def test_stream_results_carry_their_request(spark, trained):
+    scorer, _ = trained
+    source, sink, checkpoint = (new_path(spark, n) for n in ("in", "out", "state"))
+    spark.createDataFrame([(t,) for t in requests() if t], "value string").write.text(source)
+    start_scoring(spark, source, sink, checkpoint, scorer, G.default_grades(spark), once=True).awaitTermination()
+    got = spark.read.json(sink)
+    assert {r["request"] for r in got.collect()} == {t for t in requests() if t}
