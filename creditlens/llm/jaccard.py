@@ -11,10 +11,9 @@ of their sets has at least 80 % of the size of the union.
    signatures: a class with m tokens loses its last pair with its (m-1)th token. The prefix is extended until more than t
    losses are needed to lose every signature, so linked sets share one. The number of classes follows the set size
    (in bands of a factor 4; a set is indexed in each band that a partner can have), so pairs stay in proportion to the set.
-4. Candidates. First each class is only compared with the smallest class of the signatures it shares most often, which joins groups of
-   near copies without listing their pairs. After that only signatures between different components are left; for these, pairs of
-   different components and fitting sizes are counted, and a pair of plain prefixes is dropped if the shared tokens cannot reach the
-   threshold any more.
+4. Candidates. The classes of a signature are compared in blocks of bounded size by bitmaps, in which two sets that link differ in
+   few bits. First a signature only gives the pairs that connect what is near (a forest, so a group of near copies does not list all its pairs);
+   when these are verified, the same classes are compared once more, and now all near pairs between different components are taken.
 5. Verification compares the whole sets, made again from the whole texts. Components are found by alternating stars.
 
 Edge cases: a null text has no words; a text with less than five words is one shingle; a set without shingles links with nothing,
@@ -40,6 +39,8 @@ SHINGLE = 5
 PERCENT = 80
 RARITY = 2_000
 REPORT_BYTES = 16_000_000
+LEAST_BITS = 2_048
+BLOCK = 2_000
 KEY = ["row_file", "row_no"]
 
 
@@ -66,6 +67,21 @@ def set_id(tokens: np.ndarray) -> bytes:
     return mixed(np.concatenate(sums) + np.uint64(len(tokens))).astype(">u8").tobytes()
 
 
+def parity_bits(tokens: np.ndarray) -> bytes:
+    """A bitmap that each token flips one bit of. Two of them differ in no more bits than their sets differ in tokens."""
+    size = max(LEAST_BITS, 1 << max(0, 2 * len(tokens) - 1).bit_length())
+    flips = np.bincount((tokens % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(flips.astype(np.uint8)).tobytes()
+
+
+def folded(bits: bytes, size: int) -> bytes:
+    """The bitmap of ``size`` bytes of the same set; ``size`` divides the length by a power of two."""
+    while len(bits) > size:
+        half = len(bits) // 2
+        bits = (int.from_bytes(bits[:half], "big") ^ int.from_bytes(bits[half:], "big")).to_bytes(half, "big")
+    return bits
+
+
 def _short(ids: list[bytes]) -> np.ndarray:
     return np.array([int.from_bytes(x[:8], "big", signed=True) for x in ids], np.int64)
 
@@ -79,12 +95,12 @@ def _band(n: int) -> int:
     return (n.bit_length() - 1) // 2
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Signatures of a sorted set with a flag per token; and whether rare tokens alone made the prefix."""
+def signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Signatures of a sorted set; ``frequent`` flags its tokens."""
     need = allowed_losses(len(tokens)) + 1
     rare = tokens[~frequent]
     if len(rare) >= need:
-        return rare[:need], True
+        return rare[:need]
     common = tokens[frequent]
     out = [rare]
     least, most = (PERCENT * len(tokens) + 99) // 100, 100 * len(tokens) // PERCENT
@@ -101,7 +117,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, bo
         if pairs:
             pairs = np.array(pairs, np.uint64)
             out.append(mixed(mixed(pairs[:, 0] + np.uint64(band + 1)) ^ pairs[:, 1]))
-    return np.concatenate(out), False
+    return np.concatenate(out)
 
 
 def _batches(part: pa.RecordBatch, limit: int):
@@ -130,13 +146,15 @@ def _describe(rarity: int):
                 report = [None] * len(texts)
                 report[0] = [{"token": t, "n": n} for t, n in zip(tokens[often].view(np.int64).tolist(), count[often].tolist())]
                 ids = [set_id(s) for s in sets]
+                bits = [parity_bits(s) for s in sets]
+                small = [folded(x, len(x) // 4) for x in bits]
                 rows = part.slice(at, len(texts))
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(rows.column(c) for c in (*KEY, "doc_id")), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()),
-                        pa.array(report, pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())]))),
+                        pa.array(bits, pa.binary()), pa.array(small, pa.binary()), pa.array(report, pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())]))),
                     ],
-                    [*KEY, "doc_id", "n_shingles", "set_id", "often"],
+                    [*KEY, "doc_id", "n_shingles", "set_id", "bits", "small_bits", "often"],
                 )
 
     return run
@@ -148,21 +166,16 @@ def _index(frequent):
         for part in parts:
             for _, texts in _batches(part, 2_000_000):
                 sets = [s for s in shingle_sets(texts) if len(s)]
-                signs, owner, plain = [], [], []
+                signs, owner = [], []
                 for s in sets:
                     at = np.minimum(np.searchsorted(known, s), max(len(known) - 1, 0))
-                    own, rare_only = signatures(s, known[at] == s if len(known) else np.zeros(len(s), bool))
+                    own = signatures(s, known[at] == s if len(known) else np.zeros(len(s), bool))
                     signs.append(own)
                     owner.append(len(own))
-                    plain.append(rare_only)
                 if signs:
                     ids = _short([set_id(s) for s in sets])
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.concatenate(signs).view(np.int64)), pa.array(np.repeat(ids, owner)),
-                            pa.array(np.repeat(np.array(plain), owner)),
-                        ],
-                        ["sign", "short", "plain"],
+                        [pa.array(np.concatenate(signs).view(np.int64)), pa.array(np.repeat(ids, owner))], ["sign", "short"],
                     )
 
     return run
@@ -187,14 +200,101 @@ def _verify(parts):
         yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], ["a", "b"])
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b of short ids) that link, as pairs of set ids."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("short")).distinct()
-    texts = (
-        classes.join(wanted, "short").select(*KEY, "short", "set_id")
-        .join(rows.select(*KEY, "text"), KEY).select("short", "set_id", "text")
+def _near(bits: np.ndarray, n: np.ndarray, group: np.ndarray, i: int, to: slice) -> np.ndarray:
+    """Flags of the members that may link with member i: other component, fitting sizes, bitmaps that are near enough."""
+    differ = np.bitwise_count(bits[to] ^ bits[i]).sum(axis=1, dtype=np.int64)
+    # At 80 % two sets differ in no more than (200 - 160) / 180 of their sizes together.
+    near = (100 + PERCENT) * differ <= (100 - PERCENT) * (n[i] + n[to])
+    return near & (group[to] != group[i]) & (100 * np.minimum(n[i], n[to]) >= PERCENT * np.maximum(n[i], n[to]))
+
+
+def _unit_pairs(one_block: bool, rows: list[tuple], forest: bool) -> list[tuple[int, int]]:
+    """Pairs of one unit of work that may link; with ``forest`` only as many as connect all that such pairs connect."""
+    rows.sort()
+    side, short, group, n, maps = zip(*rows)
+    size = min(map(len, maps))
+    if len(rows) == 2:
+        if group[0] == group[1] or (not one_block and side[0] == side[1]):
+            return []
+        x, y = (int.from_bytes(folded(m, size), "big") for m in maps)
+        near = (100 + PERCENT) * (x ^ y).bit_count() <= (100 - PERCENT) * (n[0] + n[1])
+        return [(short[0], short[1])] if near and 100 * min(n) >= PERCENT * max(n) else []
+    bits = np.frombuffer(b"".join(folded(m, size) for m in maps), np.uint64).reshape(len(rows), -1)
+    n, group, label = np.array(n), np.array(group), np.arange(len(rows))
+    second = side.index(1) if 1 in side else len(rows)
+    found = []
+    for i in range(len(rows) if one_block else second):
+        start = i + 1 if one_block else second
+        near = np.flatnonzero(_near(bits, n, group, i, slice(start, None))) + start
+        if forest and len(near):
+            new, first = np.unique(label[near], return_index=True)
+            near = near[first[new != label[i]]]
+            label[np.isin(label, new)] = label[i]
+        found += [(short[i], short[j]) for j in near.tolist()]
+    return found
+
+
+def _compare_units(forest: bool):
+    """Candidate pairs of all units; a unit's rows follow each other."""
+
+    def batch(found):
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
+
+    def run(parts):
+        key, rows, found = None, [], []
+        for part in parts:
+            columns = [part.column(c).to_pylist() for c in ("sign", "low", "high", "side", "short", "group", "n", "bits")]
+            for sign, low, high, *row in zip(*columns):
+                if (sign, low, high) != key:
+                    if len(rows) > 1:
+                        found += _unit_pairs(key[1] == key[2], rows, forest)
+                    key, rows = (sign, low, high), []
+                rows.append(tuple(row))
+            if len(found) > 1_000:
+                yield batch(found)
+                found = []
+        if len(rows) > 1:
+            found += _unit_pairs(key[1] == key[2], rows, forest)
+        if found:
+            yield batch(found)
+
+    return run
+
+
+def _candidates(members: DataFrame, maps: DataFrame, forest: bool) -> DataFrame:
+    """Pairs (a, b) of the classes of each signature that may link, from ``members`` (sign, short, group) and ``maps`` (short, n, bits).
+
+    Only signatures between different groups matter. A large one is cut into blocks by hash and a unit of work compares two blocks, so each
+    member is sent once per block. The bitmaps join in last, so they are shuffled once.
+    """
+    mixed_signs = (
+        members.groupBy("sign").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("members"))
+        .filter("low != high").select("sign", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    )
+    units = (
+        members.join(write_stage(mixed_signs, "open"), "sign")
+        .withColumn("own", F.pmod(F.xxhash64("short", "sign"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(
+            "sign", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+            (F.col("own") > F.col("other")).cast("int").alias("side"), "short", "group",
+        )
+        .join(maps, "short")
+        .repartition("sign", "low", "high").sortWithinPartitions("sign", "low", "high")
     )
-    texts = write_stage(texts, "candidates")
+    return write_stage(units.mapInArrow(_compare_units(forest), "a long, b long").distinct(), "pairs")
+
+
+def _texts_of(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Short id, set id and text of one document of each class in ``pairs``."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("short")).distinct()
+    texts = classes.join(wanted, "short").select(*KEY, "short", "set_id").join(rows.select(*KEY, "text"), KEY)
+    return write_stage(texts.select("short", "set_id", "text"), "texts")
+
+
+def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b of short ids) that link, as pairs of set ids."""
     b_side = pairs.join(texts.select(F.col("short").alias("b"), F.col("set_id").alias("b_id"), F.col("text").alias("b_text")), "b")
     both = b_side.join(texts.select(F.col("short").alias("a"), F.col("set_id").alias("a_id"), F.col("text").alias("a_text")), "a")
     ready = both.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "a_text", "b_text")
@@ -206,7 +306,7 @@ def join(docs: DataFrame, text: str = "text", row_id: str = "doc_id", rarity: in
     spark = docs.sparkSession
     rows = with_row_key(docs.select(F.col(row_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")))
     sets = write_stage(
-        rows.mapInArrow(_describe(rarity), "row_file long, row_no long, doc_id long, n_shingles long, set_id binary, often array<struct<token:bigint,n:bigint>>"),
+        rows.mapInArrow(_describe(rarity), "row_file long, row_no long, doc_id long, n_shingles long, set_id binary, bits binary, small_bits binary, often array<struct<token:bigint,n:bigint>>"),
         "sets",
     )
     least = sets.count() / (2 * rarity)
@@ -216,40 +316,26 @@ def join(docs: DataFrame, text: str = "text", row_id: str = "doc_id", rarity: in
     members = sets.filter("n_shingles > 0").withColumn("short", F.conv(F.hex(F.substring("set_id", 1, 8)), 16, -10).cast("long"))
     classes = write_stage(
         members.groupBy("set_id", "short", "n_shingles")
-        .agg(F.min(F.struct(*KEY)).alias("place"), F.min("doc_id").alias("smallest"))
-        .select("set_id", "short", "n_shingles", "place.*", "smallest"), "classes",
+        .agg(F.min(F.struct(*KEY)).alias("place"), F.min("doc_id").alias("smallest"), F.min("bits").alias("bits"), F.min("small_bits").alias("small_bits"))
+        .select("set_id", "short", "n_shingles", "place.*", "smallest", "bits", "small_bits"), "classes",
     )
-    index = rows.select("text").mapInArrow(_index(spark.sparkContext.broadcast(frequent)), "sign long, short long, plain boolean")
+    index = rows.select("text").mapInArrow(_index(spark.sparkContext.broadcast(frequent)), "sign long, short long")
     # A signature of one document finds nothing; only shared ones are kept.
     counted = write_stage(index.select("sign").groupBy("sign").count().filter("count > 1").select("sign"), "signs")
     shared = write_stage(index.join(counted, "sign").distinct(), "shared")
 
-    centers = shared.groupBy("sign").agg(F.min("short").alias("a"))
-    stars = (
-        shared.join(centers, "sign").filter("short != a").groupBy("a", F.col("short").alias("b")).count()
-        .groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
-    )
-    first = _linked(write_stage(stars, "pairs"), classes, rows)
+    # First every class is a group of its own, and its bitmap is folded to a quarter of its size.
+    small = classes.select("short", F.col("n_shingles").alias("n"), F.col("small_bits").alias("bits"))
+    pairs = _candidates(shared.withColumn("group", F.col("short")), small, forest=True)
+    texts = _texts_of(pairs, classes, rows)
+    first = _linked(pairs, texts)
     groups = write_stage(components(first), "groups")
 
-    named = classes.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").select(
-        "short", F.col("n_shingles").alias("n"), F.coalesce("component", "set_id").alias("group"),
-    )
-    placed = write_stage(shared.join(named, "short"), "placed")
-    mixed_signs = placed.groupBy("sign").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low != high").select("sign")
-    open_ = write_stage(placed.join(mixed_signs, "sign"), "open")
-    one, two = (open_.select("sign", *[F.col(c).alias(f"{c}_{s}") for c in ("short", "plain", "n", "group")]) for s in ("a", "b"))
-    fits = (F.col("short_a") < F.col("short_b")) & (F.col("group_a") != F.col("group_b"))
-    fits &= (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-    pairs = (
-        one.join(two, "sign").filter(fits)
-        .groupBy(F.col("short_a").alias("a"), F.col("short_b").alias("b"), "plain_a", "plain_b", "n_a", "n_b").agg(F.count("*").alias("common"))
-    )
-    # Plain prefixes: what is shared is at most the shared tokens of the prefix that ends first and all that follows it.
-    overlap = F.ceil(PERCENT * (F.col("n_a") + F.col("n_b")) / F.lit(100 + PERCENT))
-    rest = F.greatest(*[F.ceil(PERCENT * F.col(n) / F.lit(100)) - 1 for n in ("n_a", "n_b")])
-    able = ~(F.col("plain_a") & F.col("plain_b")) | (F.col("common") + rest >= overlap)
-    second = _linked(write_stage(pairs.filter(able).select("a", "b"), "pairs"), classes, rows)
+    # What may link at all is in the pairs above, so only their classes are compared across the components found.
+    near = classes.join(texts.select("short").distinct(), "short").join(groups.withColumnRenamed("node", "set_id"), "set_id", "left")
+    placed = near.select("short", F.xxhash64(F.coalesce("component", "set_id")).alias("group"))
+    large = near.select("short", F.col("n_shingles").alias("n"), "bits")
+    second = _linked(_candidates(shared.join(placed, "short"), large, forest=False), texts)
     groups = components(first.unionByName(second))
 
     labels = classes.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
