@@ -147,7 +147,7 @@ def _describe(rarity: int):
                 report[0] = [{"token": t, "n": n} for t, n in zip(tokens[often].view(np.int64).tolist(), count[often].tolist())]
                 ids = [set_id(s) for s in sets]
                 bits = [parity_bits(s) for s in sets]
-                small = [folded(x, len(x) // 4) for x in bits]
+                small = [folded(x, len(x) // 2) for x in bits]
                 rows = part.slice(at, len(texts))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -324,7 +324,7 @@ def join(docs: DataFrame, text: str = "text", row_id: str = "doc_id", rarity: in
     counted = write_stage(index.select("sign").groupBy("sign").count().filter("count > 1").select("sign"), "signs")
     shared = write_stage(index.join(counted, "sign").distinct(), "shared")
 
-    # First every class is a group of its own, and its bitmap is folded to a quarter of its size.
+    # First every class is a group of its own, and its bitmap is folded to half of its size.
     small = classes.select("short", F.col("n_shingles").alias("n"), F.col("small_bits").alias("bits"))
     pairs = _candidates(shared.withColumn("group", F.col("short")), small, forest=True)
     texts = _texts_of(pairs, classes, rows)
