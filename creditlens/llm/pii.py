@@ -32,7 +32,8 @@ KINDS = ("email", "ip", "card", "phone", "secret", "contact")
 
 _LOCAL_PHONE = r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
 _BODY = "[A-Za-z0-9_+/-]"
-CANDIDATE = rf"{_LOCAL_PHONE}|(?<!{_BODY})(?={_BODY}{{0,127}}[0-9]){_BODY}{{8,128}}+(?!{_BODY})"
+# Whole runs of any length with a digit: looked at only where a run begins, once up to its first digit and once to its end.
+CANDIDATE = rf"{_LOCAL_PHONE}|(?<!{_BODY})(?=[A-Za-z_+/-]*+[0-9]){_BODY}{{8,}}+"
 LEFT_CHARS = 32
 
 SPAN = "array<struct<start:bigint,stop:bigint,kind:int,found:string>>"

@@ -455,6 +455,24 @@ def test_pii_adds_spans_and_keeps_base(documents):
     assert pii.train(documents([])) is None
 
 
+def test_pii_finds_secrets_of_any_length(documents):
+    rng = np.random.default_rng(4)
+    key = lambda n: "".join(rng.choice(list("0123456789abcdef"), n - 8)) + "abcdef0f"
+    lengths = (40, 128, 129, 500, 5000, 200_000)
+    prefix = 'plain words here token = "'
+    # Digits never stand side by side often enough for a card.
+    secrets = {i: re.sub("[0-9]{9}", "fabcdef0a", key(lengths[i % 6])) for i in range(48)}
+    rows = [(i, f'{prefix}{s}" there', "a") for i, s in secrets.items()]
+    rows += [(100 + i, f"item number-{i:06d} on page 12345678 of it", "a") for i in range(40)]
+    rows += [(200, "a" * 200_000, "a"), (201, "-" * 300 + "1", "a"), (202, "/srv/data" * 30 + "/" + "0a1b2c3d" * 5, "a")]
+    docs = documents(rows)
+    candidates = {r.doc_id: [c.found for c in r.candidates] for r in pii.with_spans(docs.select("doc_id", "text")).select("doc_id", "candidates").collect()}
+    assert all(candidates[i] == [s] for i, s in secrets.items())
+    assert candidates[200] == [] and [len(c) for c in candidates[201]] == [301] and candidates[202] == [rows[-1][1]]
+    found = {r.doc_id: r.s for r in pii.find(docs, pii.train(docs)).select("doc_id", pii.listed(F.col("spans")).alias("s")).collect()}
+    assert all(found[i] == f"secret:{len(prefix)}:{len(prefix) + len(s)}" for i, s in secrets.items())
+
+
 def test_pii_plan_holds_no_python(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
     plan = pii.find(docs, pii.train(docs))._jdf.queryExecution().executedPlan().toString()
