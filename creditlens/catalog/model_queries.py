@@ -188,6 +188,40 @@ def h9(spark, sf):
     return rounded(B.synthetic_minority(rows, "id_aplikasi", _KNN, "target"), "u", *_KNN)
 
 
+# The same over the whole encoded matrix, as oversampling before training sees it.
+_WIDE = list(_MATRIX)
+_WIDE_MINORITY = "minority AS (SELECT id_aplikasi, " + ", ".join(
+    f'CAST({x} AS DOUBLE) AS "{c}"' for c, x in _MATRIX.items()) + " FROM labelled WHERE target = 1)"
+_WIDE_DISTANCE = " + ".join(f'(a."{c}" - b."{c}") * (a."{c}" - b."{c}")' for c in _WIDE)
+_WIDE_NEAREST = _NEAREST.replace(_DISTANCE, _WIDE_DISTANCE)
+
+
+def _labelled_matrix(spark, sf):
+    """Rows with a target as (id_aplikasi, target, one column per vector entry), and the names of these columns."""
+    rows = write_stage(_labelled(spark, sf), "labelled")
+    model = E.fit_encoder(rows)
+    names = E.feature_names(model)
+    return E.wide(E.encode(model, rows).select("id_aplikasi", "target", "features"), names), names
+
+
+@query("h9_nearest_neighbours_all_features", Q.with_view("model_input", """
+SELECT parent AS id_aplikasi, slot, neighbour, distance2 FROM nearest""", LABELLED, _WIDE_MINORITY, _WIDE_NEAREST))
+def h9_neighbours_all(spark, sf):
+    matrix, names = _labelled_matrix(spark, sf)
+    return B.nearest_neighbours(write_stage(matrix.where("target = 1"), "minority"), "id_aplikasi", names)
+
+
+@query("h9_synthetic_minority_all_features", Q.with_view("model_input", f"""
+SELECT d.parent, n.neighbour, CAST(copy AS INTEGER) AS copy, round(u, 6) AS u,
+  {", ".join(f'round(a."{c}" + u * (b."{c}" - a."{c}"), 6) AS "{c}"' for c in _WIDE)}, 1 AS target
+FROM drawn d JOIN nearest n ON d.parent = n.parent AND d.slot = n.slot
+JOIN minority a ON a.id_aplikasi = d.parent JOIN minority b ON b.id_aplikasi = n.neighbour""",
+                                                         LABELLED, _WIDE_MINORITY, _WIDE_NEAREST, _COPIES))
+def h9_all(spark, sf):
+    matrix, names = _labelled_matrix(spark, sf)
+    return rounded(B.synthetic_minority(write_stage(matrix, "matrix"), "id_aplikasi", names, "target"), "u", *names)
+
+
 @query("h10_folds", f"""
 SELECT o_orderkey, CAST({Q.row_hash("o_orderkey", D.FOLD_SEED)} % 5 AS INTEGER) AS fold FROM orders""")
 def h10(spark, sf):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from creditlens import schemas as S
+from creditlens.catalog import QUERIES
 from creditlens.operators import balance as B
 from creditlens.operators import encode as E
 from creditlens.operators import ensemble as M
@@ -45,6 +46,26 @@ def test_neighbours_with_a_third_of_copies(spark, options):
     assert {i: [(n, d) for _, n, d in sorted(v)] for i, v in got.items()} == want
 
 
+def test_neighbour_queries_use_every_feature(spark, sf_dir):
+    rows = P.model_input(P.prepare(V.loan_raw(spark, sf_dir), "id_aplikasi"), "id_aplikasi").where("target is not null")
+    model = E.fit_encoder(rows)
+    names = E.feature_names(model)
+    assert len(names) == 24
+    vectors = E.wide(E.encode(model, rows).select("id_aplikasi", "target", "features"), names).where("target = 1").collect()
+    value = {r["id_aplikasi"]: tuple(r[n] for n in names) for r in vectors}
+    got = {}
+    for r in QUERIES["h9_nearest_neighbours_all_features"](spark, sf_dir).collect():
+        got.setdefault(r["id_aplikasi"], []).append((r["slot"], r["neighbour"], r["distance2"]))
+    assert {i: [(n, d) for _, n, d in sorted(v)] for i, v in got.items()} == brute_force(list(value.items()), 5)
+    new = QUERIES["h9_synthetic_minority_all_features"](spark, sf_dir).collect()
+    assert new and set(names) < set(new[0].asDict())
+    for r in new:
+        assert r["neighbour"] in {n for _, n, _ in got[r["parent"]]}
+        for j, c in enumerate(names):
+            low, high = sorted((value[r["parent"]][j], value[r["neighbour"]][j]))
+            assert low - 1e-6 <= r[c] <= high + 1e-6
+
+
 def test_neighbours_of_few_rows(spark):
     df = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, 5.0)], "id long, a double")
     got = {(r["id"], r["slot"]): r["neighbour"] for r in B.nearest_neighbours(df, "id", ["a"]).collect()}
