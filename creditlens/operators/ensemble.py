@@ -6,7 +6,7 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 from operator import add
 
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -23,11 +23,35 @@ MAX_DEPTH = 5
 ROW_SHARE = 0.75
 COLUMN_SHARE = "0.9"
 ROUNDS = 100
+PATIENCE = 25
 MAX_BINS = 256
 FOREST_TREES = 10
 FOREST_LEAF_SIZES = [5, 10]
 
 
+def rounds_until_stop(losses: list[float], patience: int = PATIENCE) -> int:
+    """Number of rounds until ``patience`` of them in a row brought no lower loss; those rounds count too."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            return i + 1
+    return len(losses)
+
+
+def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The model of the first ``n`` rounds."""
+    known = model._java_obj
+    jvm = SparkSession.active().sparkContext._jvm
+    java_model = jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+        known.uid(), known.trees()[0:n], known.treeWeights()[0:n], known.numFeatures(), known.numClasses()
+    )
+    out = model._copyValues(GBTClassificationModel(java_model))
+    out._transfer_params_to_java()
+    return out
+
+
 def fit_folds(
     rows: DataFrame,
     folds: int,
@@ -37,23 +61,25 @@ def fit_folds(
     weight: str | None = None,
     seed: int = 1,
     parallelism: int = 5,
+    patience: int = PATIENCE,
 ) -> list:
     """One boosted-tree model per fold, validated on the fold that it does not learn from.
 
     ``rows`` carries ``fold`` (null for synthetic rows) and ``blocked``, the folds whose models must
-    not learn from the row. Boosting stops early when the held-out fold gets worse.
+    not learn from the row. All rounds are fitted; those after ``patience`` rounds without a lower loss
+    on the held-out fold are not used.
     """
     learner = GBTClassifier(
         labelCol=label, featuresCol=features, maxIter=rounds, maxDepth=MAX_DEPTH, stepSize=STEP_SIZE,
-        subsamplingRate=ROW_SHARE, featureSubsetStrategy=COLUMN_SHARE, validationIndicatorCol="held_out",
-        validationTol=0.0, maxBins=MAX_BINS, seed=seed,
+        subsamplingRate=ROW_SHARE, featureSubsetStrategy=COLUMN_SHARE, maxBins=MAX_BINS, seed=seed,
     )
     if weight:
         learner = learner.setWeightCol(weight)
 
     def fit(f: int):
-        held_out = F.coalesce(F.col("fold") == f, F.lit(False))
-        return learner.fit(rows.withColumn("held_out", held_out).where(held_out | ~F.array_contains("blocked", f)))
+        model = learner.fit(rows.where(~F.array_contains("blocked", f)))
+        used = rounds_until_stop(model.evaluateEachIteration(rows.where(F.col("fold") == f)), patience)
+        return model if used == model.getNumTrees else first_trees(model, used)
 
     # The fits are independent jobs; side by side they fill the gaps between each other's small stages.
     with ThreadPool(min(folds, parallelism)) as pool:
