@@ -320,13 +320,14 @@ def s2(spark, sf):
 
 
 def _requests(spark, sf):
-    """Model inputs as JSON requests, with a malformed, an empty and an incomplete one among them."""
+    """Model inputs as JSON requests, and besides them malformed, empty and incomplete ones with negative ids."""
     _, rows = _trained(spark, sf)
     typed = rows.withColumns({f: F.col(f).cast(S.REQUEST_SCHEMA[f].dataType) for f in S.NUMERIC_FEATURES})
     requests = records.to_json_records(typed.select("id_aplikasi", *S.FEATURES), S.FEATURES)
     k = F.col("id_aplikasi") % 97
     broken = F.when(k == 0, F.lit("{")).when(k == 1, F.lit("{}")).when(k == 2, F.lit('{"usia": 30.0}'))
-    return requests.withColumn("record", F.coalesce(broken, F.col("record")))
+    more = requests.select((-1 - F.col("id_aplikasi")).alias("id_aplikasi"), broken.alias("record")).where("record is not null")
+    return requests.unionByName(more)
 
 
 @query("s3_json_records")
