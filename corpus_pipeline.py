@@ -37,8 +37,8 @@ def mixed_sources(spark, docs, sf_dir):
 
 
 def token_ids(spark, docs, sf_dir):
-    """The documents with their numbers of tokens and the digests of ids and decoded texts."""
-    return bpe.encode_frame(docs, public_tokenizers.path(VOCABULARY))
+    """The documents with their token ids, the numbers of these, and the digests of ids and decoded texts."""
+    return bpe.encode_frame(docs, public_tokenizers.path(VOCABULARY), keep_ids=True)
 
 
 STAGES = [

@@ -72,6 +72,12 @@ def test_bpe_stage(stages):
         assert d == sha(t or "") and n >= (1 if words(t) else 0)
 
 
+def test_bpe_stage_holds_the_ids(stages):
+    _, after = stages["bpe"]
+    for ids, n, d in rows(after, "token_ids", "n_tokens", "ids_sha256"):
+        assert len(ids) == n and d == sha(np.array(ids, "<u4").tobytes())
+
+
 def test_every_operator_is_registered():
     names = entry.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
