@@ -7,7 +7,7 @@ import re
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from creditlens.llm import bpe, chat, exact, jaccard, mixing, pii, quality, substring, toxicity, warc
+from creditlens.llm import audit, bpe, chat, exact, jaccard, mixing, pii, quality, substring, toxicity, warc
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -183,3 +183,35 @@ def op10_chat_format(spark, sf_dir):
     )
     pieces = chat.format_conversations(rows.unionByName(own), public_tokenizers.path(VOCABULARY))
     return chat.conversation_digests(pieces).drop("n_tokens")
+
+
+@query("op11_filter_audit", sql=r"""
+WITH firsts AS (SELECT coalesce(text, '') AS t, min(doc_id) AS first FROM documents GROUP BY 1),
+split AS (
+  SELECT d.doc_id, coalesce(lang, '') AS part, f.t, regexp_extract_all(f.t, '[^\x20\x09-\x0D]+') AS w, d.doc_id > f.first AS copy
+  FROM documents d JOIN firsts f ON coalesce(d.text, '') = f.t),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+flags AS (
+  SELECT part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t),
+    regexp_matches(t, '[#$%&*|]'), coalesce(copy, false)] AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM split s LEFT JOIN marks m ON s.doc_id = m.doc_id),
+cells AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM flags GROUP BY ALL),
+letters AS (SELECT unnest(range(1, 6)) AS i),
+orders AS (
+  SELECT [a.i, b.i, c.i, d.i, e.i] AS p FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+steps AS (SELECT p, array_to_string([('ABCDE')[x] for x in p], '') AS filter_order, unnest(range(1, 6))::INTEGER AS step FROM orders),
+run AS (
+  SELECT part, filter_order, step, p[step] AS f, n, good, toxic, fails[p[step]] AS own, len(list_filter(fails, lambda x: x)) AS failing,
+    len(list_filter(p[:step - 1], lambda x: fails[x])) > 0 AS gone
+  FROM cells, steps),
+audited AS (
+  SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (NOT gone AND NOT own), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (NOT gone AND own), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (gone AND own), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (own AND failing = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (NOT gone AND own), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND own), 0)::BIGINT AS toxic_lost
+  FROM run GROUP BY ALL)
+SELECT * EXCLUDE (f), (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM audited""")
+def op11_filter_audit(spark, sf_dir):
+    return audit.audit_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
