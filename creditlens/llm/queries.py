@@ -7,7 +7,7 @@ import re
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from creditlens.llm import audit, bpe, chat, exact, jaccard, mixing, pii, quality, substring, toxicity, warc
+from creditlens.llm import audit, bpe, chat, credentials, exact, jaccard, mixing, pii, quality, substring, toxicity, warc
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -215,3 +215,12 @@ audited AS (
 SELECT * EXCLUDE (f), (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM audited""")
 def op11_filter_audit(spark, sf_dir):
     return audit.audit_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op12_secret_scan")
+def op12_secret_scan(spark, sf_dir):
+    found = credentials.find(documents(spark, sf_dir))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, lambda x: x == F.lit(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(credentials.BASE)]
+    digest = F.sha2(credentials.listed(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    return found.select(F.col("id").alias("doc_id"), *counts, digest, credentials.listed(F.col("spans")).alias("spans"))

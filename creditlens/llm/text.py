@@ -6,16 +6,19 @@ below cut at exactly these six characters, so texts are handled as UTF-8 bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import io
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditlens.session import write_stage
 
 WORD = r"[^\x20\x09-\x0D]+"
+SPAN = "array<struct<start:bigint,stop:bigint,kind:int,found:string>>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 # Text bytes that NumPy handles at once; a longer document is a chunk of its own.
@@ -37,17 +40,69 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _plain_scan(docs: DataFrame) -> bool:
+    """Whether each row of ``docs`` is one row of a Parquet file: only scans, projections and filters, no rows multiplied or made."""
+    shown = io.StringIO()
+    with contextlib.redirect_stdout(shown):
+        docs.explain("simple")
+    nodes = re.findall(r"^[\s:+*()0-9-]*([A-Z][A-Za-z]*(?: [a-z]+)?)", shown.getvalue(), re.M)
+    return "FileScan parquet" in nodes and set(nodes) <= {"FileScan parquet", "Project", "Filter", "ColumnarToRow"}
+
+
 def with_row_key(docs: DataFrame, file: str = "row_file", row: str = "row_no") -> DataFrame:
-    """``docs`` with two longs that name a row for good, also when a task runs again or ids repeat.
+    """``docs`` with two longs that name a row for good, also when a task runs again or ids repeat; columns of these names are replaced.
+
+    They are the hash of the file's path and the row's place in it. A frame that is more than rows read from Parquet files (joined, united,
+    aggregated, made) is written to the shared folder first. Take the result of one call for all further work: a second call may write anew.
+    """
+    docs = docs.drop(file, row)
+    if not _plain_scan(docs):
+        docs = write_stage(docs, "rows")
+    return docs.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also where ``use`` needs it inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running_sums(values: Column, block: int = 512) -> Column:
+    """The running sums of an array of longs, in blocks: an array that grows by one in each step of a fold is copied each time."""
+
+    def fold(own, start):
+        step = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"] + x)).alias("out"))
+        return F.aggregate(own, F.struct(start.alias("at"), F.array().cast("array<bigint>").alias("out")), step, lambda s: s["out"])
+
+    def of_blocks(blocks):
+        totals = F.transform(blocks, lambda b: F.element_at(b, -1))
+        shifted = lambda before: F.transform(blocks, lambda b, i: let(
+            F.when(i > 0, F.get(before, i - 1)).otherwise(0), lambda add: F.transform(b, lambda x: x + add)))
+        return F.flatten(let(fold(totals, F.lit(0).cast("long")), shifted))
+
+    def of(v):
+        starts = F.sequence(F.lit(1), F.size(v), F.lit(block))
+        return let(F.transform(starts, lambda at: fold(F.slice(v, at, block), F.lit(0).cast("long"))), of_blocks)
+
+    return F.when(F.size(values) > 0, let(values, of)).otherwise(F.array().cast("array<bigint>"))
+
+
+def match_spans(text: Column, matches: Column, pattern: str, kind: int) -> Column:
+    """Array of (start, stop, kind, found) of all ``matches`` of ``pattern`` in ``text``, in code points.
 
-    They are the hash of the file's path and the row's place in it. A frame that is not read from
-    Parquet files is written to the shared folder first.
+    Their places are the running lengths of the matches and of what lies between them.
     """
-    key = [F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)]
-    try:
-        return docs.select("*", *key)
-    except AnalysisException:
-        return write_stage(docs, "rows").select("*", *key)
+    pieces = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(matches)), matches, lambda gap, m: (F.length(gap) + F.length(m)).cast("long"))
+    spans = F.zip_with(running_sums(pieces), matches, lambda stop, m: F.struct(
+        (stop - F.length(m)).alias("start"), stop.alias("stop"), F.lit(kind).alias("kind"), m.alias("found")))
+    return F.when(F.size(matches) > 0, spans).otherwise(F.array().cast(SPAN))
 
 
 def chunks(sizes: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
