@@ -7,7 +7,7 @@ import re
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from creditlens.llm import audit, bpe, chat, credentials, exact, jaccard, mixing, pii, quality, substring, toxicity, warc
+from creditlens.llm import audit, bpe, chat, credentials, exact, jaccard, mixing, phrases, pii, quality, substring, toxicity, warc
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -224,3 +224,27 @@ def op12_secret_scan(spark, sf_dir):
     counts = [F.size(F.filter(kinds, lambda x: x == F.lit(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(credentials.BASE)]
     digest = F.sha2(credentials.listed(F.col("base")).cast("binary"), 256).alias("base_sha256")
     return found.select(F.col("id").alias("doc_id"), *counts, digest, credentials.listed(F.col("spans")).alias("spans"))
+
+
+@query("op13_collocations", sql=r"""
+WITH texts AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+counts AS (
+  SELECT lang, k, w[i : i + k - 1] AS w, count(*) AS n FROM split, (VALUES (1), (2), (3)) s(k), unnest(range(1, len(w) - k + 2)) t(i) GROUP BY ALL),
+totals AS (SELECT lang, sum(n)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+several AS (SELECT * FROM counts WHERE k > 1 AND n >= 10),
+cuts AS (
+  SELECT c.lang, c.w, c.n AS a, x.n AS l, y.n AS r, cut, (1000000::HUGEINT * c.n * c.n) // (x.n::HUGEINT * y.n) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM several) c
+  JOIN counts x ON x.lang = c.lang AND x.w = c.w[:cut] JOIN counts y ON y.lang = c.lang AND y.w = c.w[cut + 1:]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, w ORDER BY score, cut) = 1),
+inner_ AS (
+  SELECT lang, w, max(n) AS n FROM (SELECT lang, w[1:2] AS w, n FROM several WHERE k = 3 UNION ALL SELECT lang, w[2:3], n FROM several WHERE k = 3) GROUP BY ALL),
+kept AS (
+  SELECT b.*, array_to_string(b.w, ' ') AS phrase FROM best b LEFT JOIN inner_ i ON i.lang = b.lang AND i.w = b.w
+  WHERE len(b.w) = 3 OR i.n IS NULL OR 100 * i.n < 50 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, t.n, score::BIGINT AS score
+FROM kept JOIN totals t USING (lang) QUALIFY rank <= 2000""")
+def op13_collocations(spark, sf_dir):
+    return phrases.collocations(documents(spark, sf_dir))
