@@ -6,7 +6,7 @@ left to right. Words without a pair left leave the array. A merge of rank r only
 the order in which their parts came to be, so merging all equal pairs of a round at once gives the result of merging one by one.
 
 The vocabulary file is a parameter; the driver reads it once and ships two small arrays (its size is that of the vocabulary, never
-of the data). Work is narrow: no shuffle, bounded texts at once.
+of the data). Work is narrow: no shuffle, and the arrays of a merge round hold a bounded stretch of text.
 
 Edge cases: a null text is empty and has no tokens; a text of any length is encoded whole; the added token inside a text gets its
 own id as in the tokenizers library; equal rows get equal results; columns of the input named like the added ones are replaced.
@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from creditlens.llm.text import byte_range_hashes, chunks
+from creditlens.llm.text import chunks, distinct_ranges
 
 # White space of Unicode; letters and numbers are the general categories L and N.
 _BLANKS = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -33,8 +33,11 @@ OTHER, LETTER, NUMBER, BLANK, BREAK = range(5)
 # Letters that an apostrophe before them takes along.
 _TAKEN = ("s", "t", "m", "d", "re", "ve", "ll")
 
-CHUNK_CHARS = 4_000_000
-_NONE = np.iinfo(np.int64).max
+# Characters that are encoded at once; a longer text is cut where a run of blanks begins, which ends a word whatever lies around it.
+CHUNK_CHARS = 500_000
+_NONE = np.iinfo(np.int32).max
+_CLASS = "".join(map(regex.escape, map(chr, _BLANKS)))
+_CUT = regex.compile(f"(?<=[^{_CLASS}])[{_CLASS}]")
 
 
 def byte_letters() -> dict[int, str]:
@@ -90,13 +93,13 @@ class Vocabulary:
         keys = np.array([pair_key(ids[a], ids[b]) for a, b in merges], np.int64)
         order = np.argsort(keys)
         return Vocabulary(
-            np.array([ids[letters[b]] for b in range(256)], np.int64), keys[order], order.astype(np.int64),
-            np.array([ids[a + b] for a, b in merges], np.int64)[order], id_bytes, added, character_kinds(),
+            np.array([ids[letters[b]] for b in range(256)], np.int32), keys[order], order.astype(np.int32),
+            np.array([ids[a + b] for a, b in merges], np.int32)[order], id_bytes, added, character_kinds(),
         )
 
 
 def pair_key(a, b):
-    return (a << 32) | b
+    return (np.int64(a) << 32) | b if np.isscalar(a) else (a.astype(np.int64) << 32) | b
 
 
 def _look_up(symbols: np.ndarray, owner: np.ndarray, rows: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +115,7 @@ def merge_words(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarr
     """Ids of all words in a row, and how many each word has."""
     size = np.fromiter(map(len, words), np.int64, len(words))
     symbols = v.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
-    owner = np.repeat(np.arange(len(words)), size)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), size)
     done_symbols, done_owner = [], []
     here = np.arange(len(symbols))
     at, rank = _look_up(symbols, owner, here, v)
@@ -139,7 +142,7 @@ def merge_words(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarr
         changed = np.flatnonzero(flags)
         at[changed], rank[changed] = _look_up(symbols, owner, changed, v)
     if not done_symbols:
-        return np.zeros(0, np.int64), np.zeros(len(words), np.int64)
+        return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
     all_owner = np.concatenate(done_owner)
     order = np.argsort(all_owner, kind="stable")
     return np.concatenate(done_symbols)[order], np.bincount(all_owner, minlength=len(words))
@@ -184,24 +187,40 @@ def _gathered(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndar
     return flat[np.repeat(start - (stop - count), count) + np.arange(stop[-1] if len(stop) else 0)]
 
 
-def encode(texts: list[str], v: Vocabulary) -> list[np.ndarray]:
+def _pieces(text: str, limit: int):
+    """The text in pieces of about ``limit`` characters that are encoded apart."""
+    at = 0
+    while len(text) - at > limit and (cut := _CUT.search(text, at + limit)):
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
+def encode(texts: list[str], v: Vocabulary, limit: int = CHUNK_CHARS) -> list[np.ndarray]:
     """Token ids of each text. U+10FFFF, a noncharacter, stands between texts; a text that holds it is encoded by itself."""
     parts, owner = [], []
+
+    def add(i, text):
+        for piece in _pieces(text, limit):
+            parts.append(piece)
+            owner.append(i)
+
     for i, text in enumerate(texts):
         at = 0
         for m in v.added_pattern.finditer(text) if v.added else ():
-            parts += [text[at : m.start()], m]
-            owner += [i, i]
+            add(i, text[at : m.start()])
+            parts.append(m)
+            owner.append(i)
             at = m.end()
-        parts.append(text[at:])
-        owner.append(i)
+        add(i, text[at:] if at else text)
     plain = [k for k, x in enumerate(parts) if isinstance(x, str) and "\U0010ffff" not in x]
     ids = [None] * len(parts)
-    for k, x in zip(plain, _encode_plain([parts[k] for k in plain], v)):
-        ids[k] = x
+    for start, stop in chunks([len(parts[k]) for k in plain], limit):
+        for k, x in zip(plain[start:stop], _encode_plain([parts[k] for k in plain[start:stop]], v)):
+            ids[k] = x
     for k, x in enumerate(parts):
         if ids[k] is None:
-            ids[k] = _encode_plain([x], v, apart=False)[0] if isinstance(x, str) else np.array([v.added[x[0]]])
+            ids[k] = _encode_plain([x], v, apart=False)[0] if isinstance(x, str) else np.array([v.added[x[0]]], np.int32)
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
     return [ids[a] if b - a == 1 else np.concatenate(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
 
@@ -211,7 +230,7 @@ def _encode_plain(texts: list[str], v: Vocabulary, apart: bool = True) -> list[n
         return []
     joined = "\U0010ffff".join([*texts, ""]) if apart else texts[0]
     if not joined:
-        return [np.zeros(0, np.int64) for _ in texts]
+        return [np.zeros(0, np.int32) for _ in texts]
     codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     data = joined.encode()
     kinds = v.kinds
@@ -226,10 +245,8 @@ def _encode_plain(texts: list[str], v: Vocabulary, apart: bool = True) -> list[n
     words = ~is_break
     text_of = np.cumsum(is_break)[words]
     start, stop = start[words], stop[words]
-    buffer = np.frombuffer(data, np.uint8)
-    _, first, number = np.unique(byte_range_hashes(buffer, start, stop), return_index=True, return_inverse=True)
-    _check_same(buffer, start, stop, first[number])
-    flat, count = merge_words([data[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist())], v)
+    number, distinct = distinct_ranges(np.frombuffer(data, np.uint8), start, stop)
+    flat, count = merge_words(distinct.to_pylist(), v)
     begin = np.cumsum(count) - count
     out = _gathered(flat, begin[number], count[number])
     sizes = np.bincount(text_of, weights=count[number], minlength=len(texts)).astype(np.int64)
@@ -237,16 +254,10 @@ def _encode_plain(texts: list[str], v: Vocabulary, apart: bool = True) -> list[n
     return [out[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-def _check_same(buffer, start, stop, first):
-    """Words that share a hash are equal byte for byte."""
-    length = stop - start
-    if (length != length[first]).any() or (_gathered(buffer, start, length) != _gathered(buffer, start[first], length)).any():
-        raise ValueError("two words share a 64-bit hash")
-
-
 def decode(ids: np.ndarray, v: Vocabulary) -> str:
     """The text of the ids, added tokens included; broken UTF-8 becomes U+FFFD."""
-    return b"".join(map(v.id_bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
+    slices = (ids[at : at + CHUNK_CHARS].tolist() for at in range(0, len(ids), CHUNK_CHARS))
+    return b"".join([b"".join(map(v.id_bytes.__getitem__, x)) for x in slices]).decode("utf-8", "replace")
 
 
 def encode_frame(docs: DataFrame, vocabulary_path: str, text: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -272,7 +283,7 @@ def encode_frame(docs: DataFrame, vocabulary_path: str, text: str = "text", keep
                     pa.array([hashlib.sha256(decode(x, v).encode()).hexdigest() for x in ids], pa.string()),
                 ]
                 if keep_ids:
-                    columns.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
+                    columns.append(pa.array(ids, pa.list_(pa.int32())))
                 own = part.slice(start, stop - start)
                 yield pa.RecordBatch.from_arrays([*own.columns, *columns], [*names, *added])
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditlens.llm.text import lower_ascii
+from creditlens.llm.text import lower_ascii, unused, with_row_key
 from creditlens.session import new_path, write_stage
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -26,8 +26,11 @@ def _normal(text: str) -> Column:
     return lower_ascii(F.coalesce(F.col(text), F.lit("")))
 
 
-def _locator() -> Column:
-    return F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+def _placed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with the locator (file, row) of each row in one more column, and that column's name."""
+    file, row, name = (unused(x, docs.columns) for x in ("row_file", "row_no", "row_locator"))
+    keyed = with_row_key(docs, file, row)
+    return keyed.select(*docs.columns, F.struct(F.col(file).alias("file"), F.col(row).alias("row")).alias(name)), name
 
 
 def keyed_state(spark: SparkSession, path: str, bytes_per_batch: str | None = None) -> DataFrame:
@@ -69,11 +72,16 @@ def keyed_state(spark: SparkSession, path: str, bytes_per_batch: str | None = No
 
 
 def verdicts(docs: DataFrame, text: str = "text", row_id: str = "doc_id", **options) -> DataFrame:
-    """(id, locator, keep_id, group_size, kept, text_sha256) for every row of ``docs``, a frame read from Parquet files."""
+    """(id, locator, keep_id, group_size, kept, text_sha256) for every row of ``docs``."""
+    return _verdicts(*_placed(docs), text, row_id, **options)
+
+
+def _verdicts(docs: DataFrame, locator: str, text: str, row_id: str, **options) -> DataFrame:
     spark = docs.sparkSession
     _check_bytes(docs, text)
     path = new_path(spark, "exact-rows")
-    docs.select(F.col(row_id).alias("id"), _locator().alias("locator"), F.sha2(_normal(text).cast("binary"), 256).alias("text_sha256")).write.parquet(path)
+    digest = F.sha2(_normal(text).cast("binary"), 256)
+    docs.select(F.col(row_id).alias("id"), F.col(locator).alias("locator"), digest.alias("text_sha256")).write.parquet(path)
     # Written, so that rows of a frequent digest meet a plain table and adaptive execution can split them.
     state = write_stage(keyed_state(spark, path, **options), "exact-keys")
     return spark.read.parquet(path).join(state, "text_sha256").select(
@@ -92,11 +100,6 @@ def _check_bytes(docs: DataFrame, text: str) -> None:
 
 def deduplicate(docs: DataFrame, text: str = "text", row_id: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that stay: of each group of equal texts the one with the largest id."""
-    spark = docs.sparkSession
-    if not docs.inputFiles():
-        path = new_path(spark, "exact-input")
-        docs.write.parquet(path)
-        docs = spark.read.parquet(path)
-    kept = verdicts(docs, text, row_id, **options).filter("kept").select(F.col("locator").alias("kept_locator"))
-    placed = docs.select("*", _locator().alias("row_locator"))
-    return placed.join(kept, F.col("row_locator") == F.col("kept_locator"), "left_semi").select(*docs.columns)
+    placed, locator = _placed(docs)
+    kept = _verdicts(placed, locator, text, row_id, **options).filter("kept").select(F.col("locator").alias(locator))
+    return placed.join(kept, locator, "left_semi").select(*docs.columns)

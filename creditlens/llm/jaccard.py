@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from creditlens.llm.components import components
-from creditlens.llm.text import Words, chunks, mixed, window_hashes, with_row_key
+from creditlens.llm.text import Words, chunks, mixed, unused, window_hashes, with_row_key
 from creditlens.session import write_stage
 
 SHINGLE = 5
@@ -301,10 +301,17 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return write_stage(ready.mapInArrow(_verify, "a binary, b binary"), "links")
 
 
-def join(docs: DataFrame, text: str = "text", row_id: str = "doc_id", rarity: int = RARITY) -> DataFrame:
+def _bytes(text: str):
+    return F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")
+
+
+def join(docs: DataFrame, text: str = "text", row_id: str = "doc_id", **options) -> DataFrame:
     """(row_file, row_no, doc_id, n_shingles, component_id) of each row of ``docs``."""
-    spark = docs.sparkSession
-    rows = with_row_key(docs.select(F.col(row_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")))
+    return _join(with_row_key(docs.select(F.col(row_id).alias("doc_id"), _bytes(text))), **options)
+
+
+def _join(rows: DataFrame, rarity: int = RARITY) -> DataFrame:
+    spark = rows.sparkSession
     sets = write_stage(
         rows.mapInArrow(_describe(rarity), "row_file long, row_no long, doc_id long, n_shingles long, set_id binary, bits binary, small_bits binary, often array<struct<token:bigint,n:bigint>>"),
         "sets",
@@ -349,11 +356,9 @@ def join(docs: DataFrame, text: str = "text", row_id: str = "doc_id", rarity: in
 
 def one_per_component(docs: DataFrame, text: str = "text", row_id: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that stay: of each component one row with its smallest id; of rows with equal ids the first one."""
-    if not docs.inputFiles():
-        docs = write_stage(docs, "jaccard-input")
-    found = join(docs, text, row_id, **options)
+    own = [unused("component_file", docs.columns), unused("component_row", docs.columns)]
+    keyed = with_row_key(docs, *own)
+    found = _join(keyed.select(*[F.col(o).alias(k) for o, k in zip(own, KEY)], F.col(row_id).alias("doc_id"), _bytes(text)), **options)
     grouped = found.filter("n_shingles > 0").groupBy("component_id").agg(F.min_by(F.struct(*KEY), F.struct(F.col("doc_id").isNull(), "doc_id", *KEY)).alias("place"))
     kept = grouped.select("place.*").unionByName(found.filter("n_shingles = 0").select(*KEY))
-    own = ["one_per_component_file", "one_per_component_row"]
-    kept = kept.withColumnsRenamed(dict(zip(KEY, own)))
-    return with_row_key(docs, *own).join(kept, own, "left_semi").select(*docs.columns)
+    return keyed.join(kept.withColumnsRenamed(dict(zip(KEY, own))), own, "left_semi").select(*docs.columns)

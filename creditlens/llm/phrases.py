@@ -29,15 +29,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditlens.llm.text import byte_range_hashes, mixed
+from creditlens.llm.text import byte_hashes, distinct_ranges, mixed
 from creditlens.session import write_stage
 
 LONGEST = 3
 LEAST = 10
 MILLION = 1_000_000
 # Bytes of the texts whose suffixes one group takes, and words that one batch takes: a place in a batch's dictionary fits 21 bits.
-GROUP_BYTES = 16_000_000
-BATCH_BYTES = 4_000_000
+GROUP_BYTES = 8_000_000
+BATCH_BYTES = 2_000_000
 BITS = 1 << 20
 _ID = 21
 _END = (1 << _ID) - 1
@@ -77,25 +77,15 @@ def stretches(texts: Iterable[bytes], limit: int = BATCH_BYTES) -> Iterator[tupl
 def word_ids(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """Start, number of the piece and id of each word, and the words by id."""
     buffer = np.frombuffer(data, np.uint8)
-    ink = _INK[buffer]
-    edge = np.diff(np.concatenate([[0], ink.view(np.int8), [0]]))
+    edge = np.diff(np.concatenate([[0], _INK[buffer].view(np.int8), [0]]))
     start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    offsets = np.concatenate([[0], np.cumsum(stop - start)]).astype(np.int32)
-    plain = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(buffer[ink])])
-    coded = plain.dictionary_encode()
-    piece = np.cumsum(buffer == 10)[start] if len(start) else np.zeros(0, np.int64)
-    return start, piece, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    ids, words = distinct_ranges(buffer, start, stop)
+    return start, np.cumsum(buffer == 10)[start], ids, words
 
 
 def word_hashes(words: pa.Array, lang: str) -> np.ndarray:
     """A hash per word and language; it deals prefixes to groups and never stands for a word."""
-    if not len(words):
-        return np.zeros(0, np.uint64)
-    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
-    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
-    name = np.frombuffer(lang.encode() + b"\x00", np.uint8)
-    salt = byte_range_hashes(name, np.array([0]), np.array([len(name)]))
-    return mixed(byte_range_hashes(data, offsets[:-1], offsets[1:]) ^ salt)
+    return mixed(byte_hashes(words.to_pylist()) ^ byte_hashes([lang.encode()]))
 
 
 def _longer(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:

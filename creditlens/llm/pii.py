@@ -21,6 +21,8 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from creditlens.llm.text import SPAN, match_spans
+
 LOCAL = "[A-Za-z0-9._%+-]"
 # A match begins where a run begins or where the last match ended; elsewhere in a run it fails as it did at its begin.
 EMAIL = rf"(?:(?<!{LOCAL})|\G){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -36,27 +38,11 @@ _BODY = "[A-Za-z0-9_+/-]"
 CANDIDATE = rf"{_LOCAL_PHONE}|(?<!{_BODY})(?=[A-Za-z_+/-]*+[0-9]){_BODY}{{8,}}+"
 LEFT_CHARS = 32
 
-SPAN = "array<struct<start:bigint,stop:bigint,kind:int,found:string>>"
 VOTERS = ("shape_key", "shape_phone", "gazetteer", "context", "mixture")
 FEATURES = ("length", "digits", "letters", "quoted", "named")
 ACCEPT = 0.9
 
 
-def _spans(text: Column, matches: Column, pattern: str, kind: int) -> Column:
-    """Spans of all matches: their places are the running lengths of the matches and of what lies between them."""
-    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def step(state, pair):
-        begin = state["at"] + F.length(pair["gap"])
-        stop = begin + F.length(pair["found"])
-        span = F.struct(begin.alias("start"), stop.alias("stop"), F.lit(kind).alias("kind"), pair["found"].alias("found"))
-        return F.struct(stop.cast("long").alias("at"), F.concat(state["out"], F.array(span)).cast(SPAN).alias("out"))
-
-    pairs = F.arrays_zip(gaps.alias("gap"), matches.alias("found"))
-    return F.when(F.size(matches) > 0, F.aggregate(pairs, start, step, lambda s: s["out"])).otherwise(F.array().cast(SPAN))
-
-
 def _digits(found: Column) -> Column:
     return F.regexp_replace(found, "[^0-9]", "")
 
@@ -92,7 +78,7 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
         F.when(has_at if k == "email" else has_digit, F.regexp_extract_all(whole, F.lit(p), 0)).otherwise(none).alias(f"_{k}") for k, p in patterns.items()
     ])
     out = out.select(*docs.columns, *[
-        _spans(whole, F.col(f"_{k}"), p, KINDS.index(k) if k in KINDS else len(KINDS)).alias(f"_{k}") for k, p in patterns.items()
+        match_spans(whole, F.col(f"_{k}"), p, KINDS.index(k) if k in KINDS else len(KINDS)).alias(f"_{k}") for k, p in patterns.items()
     ])
     checked = [F.filter(f"_{k}", check) for k, check in _CHECKS.items()]
     order = lambda a, b: F.when((a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["kind"] < b["kind"])), -1).otherwise(1)

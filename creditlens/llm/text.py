@@ -7,11 +7,13 @@ below cut at exactly these six characters, so texts are handled as UTF-8 bytes.
 from __future__ import annotations
 
 import contextlib
+import hashlib
 import io
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,6 @@ CHUNK_BYTES = 1_000_000
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASE = 0xD6E8FEB86659FD93
 
 
@@ -124,31 +125,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS: dict[int, np.ndarray] = {}
+def byte_hashes(words: Iterable[bytes]) -> np.ndarray:
+    """64 bits of the BLAKE2 digest of each word."""
+    return np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in words]), np.uint64)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64; kept for the next call."""
-    known = _POWERS.get(base)
-    if known is None or len(known) < n:
-        known = np.full(max(n, 1), base, np.uint64)
-        known[0] = 1
-        known = _POWERS[base] = np.cumprod(known, dtype=np.uint64)
-    return known[:n]
-
-
-def _range_hashes(values: np.ndarray, start: np.ndarray, stop: np.ndarray, base: int) -> np.ndarray:
-    """Hash of values[start:stop] for many ranges: differences of one running sum of values times powers."""
-    n = len(values)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * _powers(base, n), dtype=np.uint64, out=sums[1:])
-    back = _powers(pow(base, -1, 1 << 64), n + 1)
-    return mixed((sums[stop] - sums[start]) * back[start] + (stop - start).astype(np.uint64))
-
-
-def byte_range_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Hashes of data[start:stop] of a byte array."""
-    return _range_hashes(data.astype(np.uint64) + np.uint64(1), start, stop, _BYTE_BASE)
+def distinct_ranges(buffer: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """For the ranges of a byte array, which follow each other, their ids and the distinct ones by id; compared byte for byte."""
+    inside = np.zeros(len(buffer) + 1, np.int8)
+    inside[start] = 1
+    inside[stop] -= 1
+    offsets = np.concatenate([[0], np.cumsum(stop - start)])
+    kind, width = (pa.binary(), np.int32) if offsets[-1] < 1 << 31 else (pa.large_binary(), np.int64)
+    held = buffer[np.cumsum(inside[:-1]).astype(bool)]
+    coded = pa.Array.from_buffers(kind, len(start), [None, pa.py_buffer(offsets.astype(width)), pa.py_buffer(held)]).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
 class Words:
@@ -171,8 +162,13 @@ class Words:
         """Number of the document of each word."""
         return np.repeat(np.arange(len(self.count)), self.count)
 
+    def ids(self) -> tuple[np.ndarray, pa.Array]:
+        """Number of each word among the distinct words, and these."""
+        return distinct_ranges(self.buffer, self.start, self.stop)
+
     def hashes(self) -> np.ndarray:
-        return byte_range_hashes(self.buffer, self.start, self.stop)
+        ids, distinct = self.ids()
+        return byte_hashes(distinct.to_pylist())[ids]
 
     def left(self) -> np.ndarray:
         """How many words from each word on its document still has."""
@@ -180,6 +176,20 @@ class Words:
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of words[i:i+k] for every i with k words to come, document ends ignored."""
-    start = np.arange(max(0, len(words) - k + 1))
-    return _range_hashes(words, start, start + k, _WORD_BASE)
+    """Hashes of words[i:i+k] for every i with k words to come, document ends ignored.
+
+    Windows of doubling length are joined by a scrambling that is not linear, so no choice of words makes sums cancel.
+    """
+    if k < 1 or len(words) < k:
+        return np.zeros(0, np.uint64)
+    join = lambda left, right, n: mixed(mixed(left + np.uint64(2 * n + 1)) * np.uint64(_WORD_BASE) + right)
+    out, size, power, width = None, 0, words, 1
+    while True:
+        if k & width:
+            n = len(words) - size - width + 1
+            out = power[:n] if out is None else join(out[:n], power[size : size + n], size)
+            size += width
+        if size == k:
+            return mixed(out + np.uint64(k))
+        power = join(power[:-width], power[width:], width)
+        width *= 2

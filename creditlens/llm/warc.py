@@ -32,6 +32,7 @@ from creditlens.session import new_path, write_stage
 LEAST_REVISIT_BYTES = 100
 BLOCK_BYTES = 8_000_000
 GAP_BYTES = 64_000
+TASK_BYTES = 4_000_000
 FILE_BYTES = 256_000_000
 
 INDEX = "page_id long, file string, offset long, length long, url string, payload_digest string, record_type string"
@@ -168,10 +169,14 @@ def _read_ranges(folder: str, block_bytes: int, gap_bytes: int):
 
 
 def read_records(folder: str, index: DataFrame, block_bytes: int = BLOCK_BYTES, gap_bytes: int = GAP_BYTES) -> DataFrame:
-    """The records of the selected ``index`` rows, read from the archives and checked against their digests."""
+    """The records of the selected ``index`` rows, read from the archives and checked against their digests.
+
+    The index rows are small, what they point at is not: the number of tasks follows the bytes to read, ``TASK_BYTES`` each.
+    """
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
     dealt = (
         index.select("file", "offset", "length")
-        .withColumn("block", F.floor(F.col("offset") / block_bytes))
-        .repartition("file", "block").sortWithinPartitions("file", "offset").drop("block")
+        .withColumn("block", F.floor(F.col("offset") / min(block_bytes, TASK_BYTES)))
+        .repartition(tasks, "file", "block").sortWithinPartitions("file", "offset").drop("block")
     )
     return dealt.mapInArrow(_read_ranges(folder, block_bytes, gap_bytes), RECORD)
