@@ -61,6 +61,13 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def empty_stage(df: DataFrame) -> None:
+    """Free the space of a stage that nothing reads any more: its folder (``df`` is what ``write_stage`` returned) then holds no rows."""
+    folders = {path.rsplit("/", 1)[0] for path in df.inputFiles()}
+    for folder in folders:
+        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(folder)
+
+
 def small_rows(df: DataFrame, what: str, limit: int = 1000) -> list:
     """Rows of a table that must be small; reads at most ``limit`` + 1 rows and fails beyond."""
     rows = df.limit(limit + 1).collect()
