@@ -12,9 +12,11 @@ of their sets has at least 80 % of the size of the union.
    losses are needed to lose every signature, so linked sets share one. The number of classes follows the set size
    (in bands of a factor 4; a set is indexed in each band that a partner can have), so pairs stay in proportion to the set.
 4. Candidates. The classes of a signature are compared in blocks of bounded size by bitmaps, in which two sets that link differ in
-   few bits. First a signature only gives the pairs that connect what is near (a forest, so a group of near copies does not list all its pairs);
-   when these are verified, the same classes are compared once more, and now all near pairs between different components are taken.
-5. Verification compares the whole sets, made again from the whole texts. Components are found by alternating stars.
+   few bits. A signature only gives the pairs that connect what is near (a forest, so a group of near copies does not list all its pairs).
+5. Verification compares the whole sets, made again from the whole texts. All that may link is connected by the pairs, so a group of connected classes
+   that fits a task (``DENSE`` classes) is sent there, each text once, and settled exactly; only the label of each class leaves it. In larger groups the pairs are
+   verified, first one per class; then the classes are compared by signature once more, now between the groups that links leave apart.
+   Components over pairs and links are found by alternating stars.
 
 Edge cases: a null text has no words; a text with less than five words is one shingle; a set without shingles links with nothing,
 not even its equal; repeated rows are one class; a null id is ignored in the smallest id of a component, and a component of nulls only is null;
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from creditlens.llm.components import components
 from creditlens.llm.text import Words, chunks, mixed, unused, window_hashes, with_row_key
-from creditlens.session import write_stage
+from creditlens.session import empty_stage, write_stage
 
 SHINGLE = 5
 PERCENT = 80
@@ -41,6 +43,9 @@ RARITY = 2_000
 REPORT_BYTES = 16_000_000
 LEAST_BITS = 2_048
 BLOCK = 2_000
+# Classes and bytes of text of a group of candidates that one task settles.
+DENSE = 1_000
+DENSE_BYTES = 8_000_000
 KEY = ["row_file", "row_no"]
 
 
@@ -165,7 +170,8 @@ def _index(frequent):
         known = frequent.value
         for part in parts:
             for _, texts in _batches(part, 2_000_000):
-                sets = [s for s in shingle_sets(texts) if len(s)]
+                # Equal sets of a batch are one row per signature.
+                sets = list({set_id(s): s for s in shingle_sets(texts) if len(s)}.values())
                 signs, owner = [], []
                 for s in sets:
                     at = np.minimum(np.searchsorted(known, s), max(len(known) - 1, 0))
@@ -200,6 +206,56 @@ def _verify(parts):
         yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], ["a", "b"])
 
 
+def _classes(sets: list[np.ndarray]) -> np.ndarray:
+    """Label of each set: the lowest place that links between these sets reach."""
+    m = len(sets)
+    n = np.array([len(s) for s in sets])
+    start = np.concatenate([[0], np.cumsum(n)])
+    distinct, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    maps = [parity_bits(s) for s in sets]
+    size = min(map(len, maps))
+    bits = np.frombuffer(b"".join(folded(x, size) for x in maps), np.uint64).reshape(m, -1)
+    label, mine = np.arange(m), np.zeros(len(distinct), bool)
+    for i in range(m):
+        near = np.flatnonzero(_near(bits, n, label, i, slice(i + 1, None))) + i + 1
+        if not len(near):
+            continue
+        own = flat[start[i] : start[i + 1]]
+        mine[own] = True
+        if len(near) > 16:
+            hits = np.add.reduceat(mine[flat[start[i + 1] :]], start[i + 1 : m] - start[i + 1], dtype=np.int64)
+            shared = hits[near - i - 1]
+        else:
+            shared = np.array([mine[flat[start[j] : start[j + 1]]].sum() for j in near])
+        mine[own] = False
+        joined = label[near[100 * shared >= PERCENT * (n[i] + n[near] - shared)]]
+        if len(joined):
+            both = np.append(joined, label[i])
+            label[np.isin(label, both)] = both.min()
+    return label
+
+
+def _label_groups(parts):
+    """(node, component): set ids of the classes of each group of candidates, whose rows follow each other, with the one that stands for their links."""
+
+    def labelled(rows):
+        ids, texts = zip(*sorted(rows))
+        label = _classes(_sets_of(list(texts)))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array([ids[k] for k in label], pa.binary())], ["node", "component"])
+
+    key, rows = None, []
+    for part in parts:
+        for at in range(0, part.num_rows, 500):
+            for row in zip(*(part.column(c).slice(at, 500).to_pylist() for c in ("component", "set_id", "text"))):
+                if row[0] != key:
+                    if rows:
+                        yield labelled(rows)
+                    key, rows = row[0], []
+                rows.append(row[1:])
+    if rows:
+        yield labelled(rows)
+
+
 def _near(bits: np.ndarray, n: np.ndarray, group: np.ndarray, i: int, to: slice) -> np.ndarray:
     """Flags of the members that may link with member i: other component, fitting sizes, bitmaps that are near enough."""
     differ = np.bitwise_count(bits[to] ^ bits[i]).sum(axis=1, dtype=np.int64)
@@ -286,11 +342,10 @@ def _candidates(members: DataFrame, maps: DataFrame, forest: bool) -> DataFrame:
     return write_stage(units.mapInArrow(_compare_units(forest), "a long, b long").distinct(), "pairs")
 
 
-def _texts_of(pairs: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Short id, set id and text of one document of each class in ``pairs``."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("short")).distinct()
-    texts = classes.join(wanted, "short").select(*KEY, "short", "set_id").join(rows.select(*KEY, "text"), KEY)
-    return write_stage(texts.select("short", "set_id", "text"), "texts")
+def _texts_of(grouped: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """``grouped`` (short, component) with set id and text of one document of each class."""
+    places = classes.join(grouped, "short").select(*KEY, "short", "set_id", "component")
+    return write_stage(places.join(rows.select(*KEY, "text"), KEY).select("short", "set_id", "component", "text"), "texts")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -301,6 +356,31 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return write_stage(ready.mapInArrow(_verify, "a binary, b binary"), "links")
 
 
+def _settle(pairs: DataFrame, texts: DataFrame, shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, component) of the classes of ``texts``, whose groups of candidates are too large for a task."""
+
+    def placed(links):
+        """(short, group) after these links."""
+        groups = write_stage(components(links), "groups")
+        near = texts.select("short", "set_id").join(groups.withColumnRenamed("node", "set_id"), "set_id", "left")
+        return near.select("short", F.xxhash64(F.coalesce("component", "set_id")).alias("group"))
+
+    pairs = pairs.join(texts.select(F.col("short").alias("a")), "a", "left_semi")
+    # One pair per class connects most of what links; of the others only those between groups that are still apart matter.
+    one = write_stage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+    first = _linked(one, texts)
+    group = placed(first)
+    apart = pairs.join(one, ["a", "b"], "left_anti")
+    for side in ("a", "b"):
+        apart = apart.join(group.select(F.col("short").alias(side), F.col("group").alias(f"{side}_group")), side)
+    links = first.unionByName(_linked(apart.filter("a_group != b_group").select("a", "b"), texts))
+
+    # Then the classes of each signature are compared once more, with whole bitmaps, across the groups found.
+    whole = classes.join(texts.select("short"), "short", "left_semi").select("short", F.col("n_shingles").alias("n"), "bits")
+    links = links.unionByName(_linked(_candidates(shared.join(placed(links), "short"), whole, forest=False), texts))
+    return components(links)
+
+
 def _bytes(text: str):
     return F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text")
 
@@ -310,7 +390,7 @@ def join(docs: DataFrame, text: str = "text", row_id: str = "doc_id", **options)
     return _join(with_row_key(docs.select(F.col(row_id).alias("doc_id"), _bytes(text))), **options)
 
 
-def _join(rows: DataFrame, rarity: int = RARITY) -> DataFrame:
+def _join(rows: DataFrame, rarity: int = RARITY, dense: int = DENSE) -> DataFrame:
     spark = rows.sparkSession
     sets = write_stage(
         rows.mapInArrow(_describe(rarity), "row_file long, row_no long, doc_id long, n_shingles long, set_id binary, bits binary, small_bits binary, often array<struct<token:bigint,n:bigint>>"),
@@ -326,24 +406,26 @@ def _join(rows: DataFrame, rarity: int = RARITY) -> DataFrame:
         .agg(F.min(F.struct(*KEY)).alias("place"), F.min("doc_id").alias("smallest"), F.min("bits").alias("bits"), F.min("small_bits").alias("small_bits"))
         .select("set_id", "short", "n_shingles", "place.*", "smallest", "bits", "small_bits"), "classes",
     )
-    index = rows.select("text").mapInArrow(_index(spark.sparkContext.broadcast(frequent)), "sign long, short long")
-    # A signature of one document finds nothing; only shared ones are kept.
-    counted = write_stage(index.select("sign").groupBy("sign").count().filter("count > 1").select("sign"), "signs")
+    # A signature of one class finds nothing; only shared ones are kept.
+    index = write_stage(rows.select("text").mapInArrow(_index(spark.sparkContext.broadcast(frequent)), "sign long, short long"), "index")
+    counted = index.groupBy("sign").agg(F.min("short").alias("low"), F.max("short").alias("high")).filter("low != high").select("sign")
     shared = write_stage(index.join(counted, "sign").distinct(), "shared")
+    empty_stage(index)
 
     # First every class is a group of its own, and its bitmap is folded to half of its size.
     small = classes.select("short", F.col("n_shingles").alias("n"), F.col("small_bits").alias("bits"))
     pairs = _candidates(shared.withColumn("group", F.col("short")), small, forest=True)
-    texts = _texts_of(pairs, classes, rows)
-    first = _linked(pairs, texts)
-    groups = write_stage(components(first), "groups")
-
-    # What may link at all is in the pairs above, so only their classes are compared across the components found.
-    near = classes.join(texts.select("short").distinct(), "short").join(groups.withColumnRenamed("node", "set_id"), "set_id", "left")
-    placed = near.select("short", F.xxhash64(F.coalesce("component", "set_id")).alias("group"))
-    large = near.select("short", F.col("n_shingles").alias("n"), "bits")
-    second = _linked(_candidates(shared.join(placed, "short"), large, forest=False), texts)
-    groups = components(first.unionByName(second))
+
+    # What may link at all is connected by these pairs. A group of candidates that fits a task is settled there, each text sent once.
+    grouped = components(pairs).withColumnRenamed("node", "short")
+    texts = _texts_of(grouped, classes, rows)
+    size = texts.groupBy("component").agg(F.count("*").alias("members"), F.sum(F.octet_length("text")).alias("bytes"))
+    crowded = write_stage(size.filter((F.col("members") > dense) | (F.col("bytes") > DENSE_BYTES)).select("component"), "crowded")
+    fitting = texts.join(crowded, "component", "left_anti").select("component", "set_id", "text").repartition("component").sortWithinPartitions("component")
+    groups = write_stage(fitting.mapInArrow(_label_groups, "node binary, component binary"), "groups")
+    if not crowded.isEmpty():
+        held = write_stage(texts.join(crowded, "component", "left_semi").select("short", "set_id", "text"), "crowded-texts")
+        groups = groups.unionByName(_settle(pairs, held, shared, classes))
 
     labels = classes.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     smallest = labels.groupBy("component").agg(F.min("smallest").alias("component_id"))

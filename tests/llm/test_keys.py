@@ -145,3 +145,23 @@ def test_many_addresses_in_one_text(documents):
     found = pii.find(df, None).collect()[0]
     assert len(found.base) == 16_000 and found.base[-1].stop == len(text) - 1
     assert credentials.find(df).collect()[0].spans == []
+
+
+def similar(n, group, share, size=120):
+    """Texts of one group: a common text with each of its words replaced by an own one with chance ``share``."""
+    import random
+
+    rng = random.Random(group * 1000 + n)
+    return [" ".join(f"o{group}x{i}y{j}" if rng.random() < share else f"c{group}w{j}" for j in range(size)) for i in range(n)]
+
+
+@pytest.mark.parametrize("dense", [1, 5, 1000])
+def test_groups_of_candidates_of_any_size(spark, documents, dense):
+    """Near copies, near misses and chains give the same links whether a task settles them or not."""
+    texts = [t for g, share in enumerate((0.0, 0.01, 0.02, 0.03, 0.04, 0.06)) for t in similar(25, g, share)]
+    base = [f"z{j}" for j in range(200)]
+    texts += [" ".join([*base[4 * i :], *(f"q{j}" for j in range(4 * i))]) for i in range(12)]
+    rows = [(i, t, "a") for i, t in enumerate(texts)]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(documents(rows), dense=dense).collect())
+    want = sorted(linked_components([(i, t) for i, t, _ in rows]))
+    assert got == want and 20 < len({c for _, _, c in want}) < len(rows)
