@@ -44,8 +44,9 @@ REPORT_BYTES = 16_000_000
 LEAST_BITS = 2_048
 BLOCK = 2_000
 # Classes and bytes of text of a group of candidates that one task settles.
-DENSE = 1_000
-DENSE_BYTES = 8_000_000
+DENSE = 4_000
+DENSE_BYTES = 16_000_000
+SPOTS = 1 << 20
 KEY = ["row_file", "row_no"]
 
 
@@ -344,8 +345,20 @@ def _candidates(members: DataFrame, maps: DataFrame, forest: bool) -> DataFrame:
 
 def _texts_of(grouped: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
     """``grouped`` (short, component) with set id and text of one document of each class."""
-    places = classes.join(grouped, "short").select(*KEY, "short", "set_id", "component")
-    return write_stage(places.join(rows.select(*KEY, "text"), KEY).select("short", "set_id", "component", "text"), "texts")
+    places = write_stage(classes.join(grouped, "short").select(*KEY, "short", "set_id", "component"), "places")
+    spot = F.pmod(F.xxhash64(*KEY), F.lit(SPOTS)).cast("int")
+    # Most texts are in no group: a bitmap of fixed size keeps them from the shuffle, and what it lets through by chance ends in the join.
+    wanted = np.zeros(SPOTS, bool)
+    wanted[[r.spot for r in places.select(spot.alias("spot")).distinct().collect()]] = True
+    flags = rows.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+
+    def run(parts):
+        known = np.unpackbits(flags.value).view(bool)
+        for part in parts:
+            yield part.filter(pa.array(known[part.column("spot").to_numpy()]))
+
+    asked = rows.select(*KEY, "text", spot.alias("spot")).mapInArrow(run, "row_file long, row_no long, text binary, spot int")
+    return write_stage(places.join(asked.drop("spot"), KEY).select("short", "set_id", "component", "text"), "texts")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -411,6 +424,10 @@ def _join(rows: DataFrame, rarity: int = RARITY, dense: int = DENSE) -> DataFram
     counted = index.groupBy("sign").agg(F.min("short").alias("low"), F.max("short").alias("high")).filter("low != high").select("sign")
     shared = write_stage(index.join(counted, "sign").distinct(), "shared")
     empty_stage(index)
+    # Signatures of the very same classes say the same, and near copies share many; one of them is enough (by the number of classes and 128 bits over them).
+    marks = [F.bit_xor(F.xxhash64("short", F.lit(k))).alias(f"mark_{k}") for k in (1, 2)]
+    alike = shared.groupBy("sign").agg(F.count("*").alias("members"), *marks)
+    shared = write_stage(shared.join(alike.groupBy("members", "mark_1", "mark_2").agg(F.min("sign").alias("sign")).select("sign"), "sign", "left_semi"), "shared")
 
     # First every class is a group of its own, and its bitmap is folded to half of its size.
     small = classes.select("short", F.col("n_shingles").alias("n"), F.col("small_bits").alias("bits"))

@@ -77,15 +77,16 @@ def stretches(texts: Iterable[bytes], limit: int = BATCH_BYTES) -> Iterator[tupl
 def word_ids(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """Start, number of the piece and id of each word, and the words by id."""
     buffer = np.frombuffer(data, np.uint8)
-    edge = np.diff(np.concatenate([[0], _INK[buffer].view(np.int8), [0]]))
+    ink = _INK[buffer]
+    edge = np.diff(np.concatenate([[0], ink.view(np.int8), [0]]))
     start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    ids, words = distinct_ranges(buffer, start, stop)
+    ids, words = distinct_ranges(buffer, start, stop, ink)
     return start, np.cumsum(buffer == 10)[start], ids, words
 
 
 def word_hashes(words: pa.Array, lang: str) -> np.ndarray:
     """A hash per word and language; it deals prefixes to groups and never stands for a word."""
-    return mixed(byte_hashes(words.to_pylist()) ^ byte_hashes([lang.encode()]))
+    return mixed(byte_hashes(words) ^ byte_hashes(pa.array([lang.encode()])))
 
 
 def _longer(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ CHUNK_BYTES = 1_000_000
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _WORD_BASE = 0xD6E8FEB86659FD93
+# Bytes from which on a word is hashed by itself.
+_LONG_WORD = 256
 
 
 def lower_ascii(text: Column) -> Column:
@@ -125,20 +128,43 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def byte_hashes(words: Iterable[bytes]) -> np.ndarray:
-    """64 bits of the BLAKE2 digest of each word."""
-    return np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in words]), np.uint64)
-
-
-def distinct_ranges(buffer: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """For the ranges of a byte array, which follow each other, their ids and the distinct ones by id; compared byte for byte."""
-    inside = np.zeros(len(buffer) + 1, np.int8)
-    inside[start] = 1
-    inside[stop] -= 1
+def byte_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string of a binary array: eight bytes after the other through a scrambling that is not linear."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    start = np.cumsum(size) - size
+    first = words.buffers()[1].to_pybytes() if words.offset else words.buffers()[1]
+    first = int(np.frombuffer(first, np.int64 if pa.types.is_large_binary(words.type) else np.int32)[words.offset])
+    data = np.concatenate([np.frombuffer(words.buffers()[2] or b"", np.uint8)[first : first + int(size.sum())], np.zeros(8, np.uint8)])
+    out = mixed(size.astype(np.uint64) + np.uint64(_WORD_BASE))
+    rows = np.flatnonzero((size > 0) & (size <= _LONG_WORD))
+    at = 0
+    while len(rows):
+        block = data[(start[rows] + at)[:, None] + np.arange(8)].view("<u8")[:, 0]
+        bits = (8 * np.minimum(size[rows] - at, 8)).astype(np.uint64)
+        block &= np.where(bits == 64, ~np.uint64(0), (np.uint64(1) << (bits % np.uint64(64))) - np.uint64(1))
+        out[rows] = mixed(out[rows] * np.uint64(_WORD_BASE) ^ mixed(block + np.uint64(at)))
+        at += 8
+        rows = rows[size[rows] > at]
+    long = np.flatnonzero(size > _LONG_WORD)
+    out[long] = [int.from_bytes(hashlib.blake2b(words[i].as_py(), digest_size=8).digest(), "little") for i in long.tolist()]
+    return out
+
+
+def distinct_ranges(buffer: np.ndarray, start: np.ndarray, stop: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, pa.Array]:
+    """For the ranges of a byte array, which follow each other, their ids and the distinct ones by id; compared byte for byte.
+
+    ``inside`` flags the bytes in any range.
+    """
+    if inside is None:
+        edge = np.zeros(len(buffer) + 1, np.int8)
+        edge[start] = 1
+        edge[stop] -= 1
+        inside = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
     offsets = np.concatenate([[0], np.cumsum(stop - start)])
     kind, width = (pa.binary(), np.int32) if offsets[-1] < 1 << 31 else (pa.large_binary(), np.int64)
-    held = buffer[np.cumsum(inside[:-1]).astype(bool)]
-    coded = pa.Array.from_buffers(kind, len(start), [None, pa.py_buffer(offsets.astype(width)), pa.py_buffer(held)]).dictionary_encode()
+    coded = pa.Array.from_buffers(kind, len(start), [None, pa.py_buffer(offsets.astype(width)), pa.py_buffer(buffer[inside])]).dictionary_encode()
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
@@ -149,8 +175,8 @@ class Words:
         joined = b" ".join([*texts, b""])
         self.data = joined
         self.buffer = np.frombuffer(joined, np.uint8)
-        ink = ~_BLANK[self.buffer]
-        edge = np.diff(np.concatenate([[False], ink, [False]]).astype(np.int8))
+        self.ink = ~_BLANK[self.buffer]
+        edge = np.diff(np.concatenate([[False], self.ink, [False]]).astype(np.int8))
         self.start = np.flatnonzero(edge == 1)
         self.stop = np.flatnonzero(edge == -1)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -164,11 +190,11 @@ class Words:
 
     def ids(self) -> tuple[np.ndarray, pa.Array]:
         """Number of each word among the distinct words, and these."""
-        return distinct_ranges(self.buffer, self.start, self.stop)
+        return distinct_ranges(self.buffer, self.start, self.stop, self.ink)
 
     def hashes(self) -> np.ndarray:
         ids, distinct = self.ids()
-        return byte_hashes(distinct.to_pylist())[ids]
+        return byte_hashes(distinct)[ids]
 
     def left(self) -> np.ndarray:
         """How many words from each word on its document still has."""
@@ -182,7 +208,7 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """
     if k < 1 or len(words) < k:
         return np.zeros(0, np.uint64)
-    join = lambda left, right, n: mixed(mixed(left + np.uint64(2 * n + 1)) * np.uint64(_WORD_BASE) + right)
+    join = lambda left, right, n: mixed((left + np.uint64(n)) * np.uint64(_WORD_BASE) + right)
     out, size, power, width = None, 0, words, 1
     while True:
         if k & width:
