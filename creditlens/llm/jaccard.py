@@ -153,14 +153,13 @@ def _describe(rarity: int):
                 report[0] = [{"token": t, "n": n} for t, n in zip(tokens[often].view(np.int64).tolist(), count[often].tolist())]
                 ids = [set_id(s) for s in sets]
                 bits = [parity_bits(s) for s in sets]
-                small = [folded(x, len(x) // 2) for x in bits]
                 rows = part.slice(at, len(texts))
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(rows.column(c) for c in (*KEY, "doc_id")), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()),
-                        pa.array(bits, pa.binary()), pa.array(small, pa.binary()), pa.array(report, pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())]))),
+                        pa.array(bits, pa.binary()), pa.array(report, pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())]))),
                     ],
-                    [*KEY, "doc_id", "n_shingles", "set_id", "bits", "small_bits", "often"],
+                    [*KEY, "doc_id", "n_shingles", "set_id", "bits", "often"],
                 )
 
     return run
@@ -388,7 +387,7 @@ def _settle(pairs: DataFrame, texts: DataFrame, shared: DataFrame, classes: Data
         apart = apart.join(group.select(F.col("short").alias(side), F.col("group").alias(f"{side}_group")), side)
     links = first.unionByName(_linked(apart.filter("a_group != b_group").select("a", "b"), texts))
 
-    # Then the classes of each signature are compared once more, with whole bitmaps, across the groups found.
+    # Then the classes of each signature are compared once more, across the groups found.
     whole = classes.join(texts.select("short"), "short", "left_semi").select("short", F.col("n_shingles").alias("n"), "bits")
     links = links.unionByName(_linked(_candidates(shared.join(placed(links), "short"), whole, forest=False), texts))
     return components(links)
@@ -406,7 +405,7 @@ def join(docs: DataFrame, text: str = "text", row_id: str = "doc_id", **options)
 def _join(rows: DataFrame, rarity: int = RARITY, dense: int = DENSE) -> DataFrame:
     spark = rows.sparkSession
     sets = write_stage(
-        rows.mapInArrow(_describe(rarity), "row_file long, row_no long, doc_id long, n_shingles long, set_id binary, bits binary, small_bits binary, often array<struct<token:bigint,n:bigint>>"),
+        rows.mapInArrow(_describe(rarity), "row_file long, row_no long, doc_id long, n_shingles long, set_id binary, bits binary, often array<struct<token:bigint,n:bigint>>"),
         "sets",
     )
     least = sets.count() / (2 * rarity)
@@ -416,22 +415,23 @@ def _join(rows: DataFrame, rarity: int = RARITY, dense: int = DENSE) -> DataFram
     members = sets.filter("n_shingles > 0").withColumn("short", F.conv(F.hex(F.substring("set_id", 1, 8)), 16, -10).cast("long"))
     classes = write_stage(
         members.groupBy("set_id", "short", "n_shingles")
-        .agg(F.min(F.struct(*KEY)).alias("place"), F.min("doc_id").alias("smallest"), F.min("bits").alias("bits"), F.min("small_bits").alias("small_bits"))
-        .select("set_id", "short", "n_shingles", "place.*", "smallest", "bits", "small_bits"), "classes",
+        .agg(F.min(F.struct(*KEY)).alias("place"), F.min("doc_id").alias("smallest"), F.min("bits").alias("bits"))
+        .select("set_id", "short", "n_shingles", "place.*", "smallest", "bits"), "classes",
     )
     # A signature of one class finds nothing; only shared ones are kept.
     index = write_stage(rows.select("text").mapInArrow(_index(spark.sparkContext.broadcast(frequent)), "sign long, short long"), "index")
-    counted = index.groupBy("sign").agg(F.min("short").alias("low"), F.max("short").alias("high")).filter("low != high").select("sign")
+    counted = index.groupBy("sign").count().filter("count > 1").select("sign")
     shared = write_stage(index.join(counted, "sign").distinct(), "shared")
     empty_stage(index)
     # Signatures of the very same classes say the same, and near copies share many; one of them is enough (by the number of classes and 128 bits over them).
     marks = [F.bit_xor(F.xxhash64("short", F.lit(k))).alias(f"mark_{k}") for k in (1, 2)]
     alike = shared.groupBy("sign").agg(F.count("*").alias("members"), *marks)
+    alike = alike.filter("members > 1")
     shared = write_stage(shared.join(alike.groupBy("members", "mark_1", "mark_2").agg(F.min("sign").alias("sign")).select("sign"), "sign", "left_semi"), "shared")
 
-    # First every class is a group of its own, and its bitmap is folded to half of its size.
-    small = classes.select("short", F.col("n_shingles").alias("n"), F.col("small_bits").alias("bits"))
-    pairs = _candidates(shared.withColumn("group", F.col("short")), small, forest=True)
+    # First every class is a group of its own.
+    maps = classes.select("short", F.col("n_shingles").alias("n"), "bits")
+    pairs = _candidates(shared.withColumn("group", F.col("short")), maps, forest=True)
 
     # What may link at all is connected by these pairs. A group of candidates that fits a task is settled there, each text sent once.
     grouped = components(pairs).withColumnRenamed("node", "short")
