@@ -284,9 +284,29 @@ def h15(spark, sf):
     return G.cluster_scores(_probabilities(spark, sf, "train"), "pd").select("id_aplikasi", "pd", "cluster")
 
 
+@query("h15_optimal_intervals", """
+WITH nations AS (SELECT c_nationkey AS x, count(*) AS n FROM customer WHERE c_nationkey IS NOT NULL GROUP BY 1),
+cuts AS (SELECT a.x AS second, b.x AS third FROM nations a, nations b WHERE a.x < b.x AND a.x > (SELECT min(x) FROM nations)),
+pieces AS (
+  SELECT second, third, CASE WHEN x < second THEN 0 WHEN x < third THEN 1 ELSE 2 END AS cluster, min(x) AS least, max(x) AS largest,
+    sum(n)::BIGINT AS n, sum(n * x * x) - sum(n * x) * sum(n * x) / sum(n) AS spread FROM cuts, nations GROUP BY ALL),
+best AS (SELECT second, third FROM pieces GROUP BY ALL ORDER BY sum(spread) LIMIT 1)
+SELECT cluster::INTEGER AS cluster, least, largest, n FROM pieces JOIN best USING (second, third)""")
+def h15_intervals(spark, sf):
+    customers = V.table(spark, sf, "customer").select("c_nationkey")
+    return G.cluster_scores(customers, "c_nationkey", 3).where("cluster IS NOT NULL").groupBy("cluster").agg(
+        F.min("c_nationkey").alias("least"), F.max("c_nationkey").alias("largest"), F.count("*").alias("n"))
+
+
+def _grades(spark, sf):
+    """The grade table of the trained model: its clusters on the training rows, in the order of their probabilities."""
+    scored = write_stage(_probabilities(spark, sf, "train").select("id_aplikasi", "pd", "target"), "graded")
+    return G.learn_grades(scored, "pd", "target")
+
+
 @query("h16_grades_of_clusters")
 def h16_clusters(spark, sf):
-    return G.build_grades(G.cluster_scores(_probabilities(spark, sf, "train"), "pd"), "pd", "target")
+    return _grades(spark, sf)
 
 
 @query("h17_explanation")
@@ -333,13 +353,13 @@ def _requests(spark, sf):
 @query("s3_json_records")
 def s3(spark, sf):
     scorer, _ = _trained(spark, sf)
-    return R.score_records(_requests(spark, sf), "record", scorer, G.default_grades(spark))
+    return R.score_records(_requests(spark, sf), "record", scorer, _grades(spark, sf))
 
 
 @query("s5_batch_scoring")
 def s5(spark, sf):
     scorer, rows = _trained(spark, sf)
-    return R.score_applications(rows, scorer, G.default_grades(spark), keep=["id_aplikasi"])
+    return R.score_applications(rows, scorer, _grades(spark, sf), keep=["id_aplikasi"])
 
 
 @query("s6_continuous_scoring")
@@ -347,5 +367,5 @@ def s6(spark, sf):
     scorer, _ = _trained(spark, sf)
     source, sink, checkpoint = (new_path(spark, n) for n in ("requests", "results", "stream"))
     _requests(spark, sf).select("record").write.text(source)
-    start_scoring(spark, source, sink, checkpoint, scorer, G.default_grades(spark), once=True).awaitTermination()
+    start_scoring(spark, source, sink, checkpoint, scorer, _grades(spark, sf), once=True).awaitTermination()
     return spark.read.schema("request string, " + ", ".join(f"{f.name} string" for f in R.RESULT_SCHEMA)).json(sink)

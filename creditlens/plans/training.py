@@ -16,13 +16,17 @@ from creditlens.operators import balance, encode, ensemble, split
 from creditlens.session import write_stage
 
 
+_ABOUT = "models int, method string, graded boolean"
+
+
 @dataclass
 class Scorer:
-    """Fitted encoder and the models of the folds."""
+    """Fitted encoder, the models of the folds, and the grade table learned from their probabilities, if there is one."""
 
     encoder: PipelineModel
     models: list
     method: str = "max"
+    grades: DataFrame | None = None
 
     @property
     def feature_names(self) -> list[str]:
@@ -33,14 +37,18 @@ class Scorer:
         self.encoder.write().overwrite().save(f"{path}/encoder")
         for i, model in enumerate(self.models):
             model.write().overwrite().save(f"{path}/model-{i}")
-        about = spark.createDataFrame([(len(self.models), self.method)], "models int, method string")
+        if self.grades is not None:
+            self.grades.coalesce(1).write.mode("overwrite").parquet(f"{path}/grades")
+        about = spark.createDataFrame([(len(self.models), self.method, self.grades is not None)], _ABOUT)
         about.write.mode("overwrite").json(f"{path}/about")
 
     @staticmethod
     def load(path: str) -> Scorer:
-        about = SparkSession.active().read.schema("models int, method string").json(f"{path}/about").first()
+        spark = SparkSession.active()
+        about = spark.read.schema(_ABOUT).json(f"{path}/about").first()
         models = [GBTClassificationModel.load(f"{path}/model-{i}") for i in range(about["models"])]
-        return Scorer(PipelineModel.load(f"{path}/encoder"), models, about["method"])
+        grades = spark.read.parquet(f"{path}/grades") if about["graded"] else None
+        return Scorer(PipelineModel.load(f"{path}/encoder"), models, about["method"], grades)
 
 
 def training_rows(
