@@ -362,8 +362,10 @@ def _texts_of(grouped: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFr
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b of short ids) that link, as pairs of set ids."""
-    b_side = pairs.join(texts.select(F.col("short").alias("b"), F.col("set_id").alias("b_id"), F.col("text").alias("b_text")), "b")
-    both = b_side.join(texts.select(F.col("short").alias("a"), F.col("set_id").alias("a_id"), F.col("text").alias("a_text")), "a")
+    # Only texts that are in a pair are sent.
+    of = lambda side: texts.join(pairs.select(F.col(side).alias("short")).distinct(), "short", "left_semi")
+    b_side = pairs.join(of("b").select(F.col("short").alias("b"), F.col("set_id").alias("b_id"), F.col("text").alias("b_text")), "b")
+    both = b_side.join(of("a").select(F.col("short").alias("a"), F.col("set_id").alias("a_id"), F.col("text").alias("a_text")), "a")
     ready = both.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "a_text", "b_text")
     return write_stage(ready.mapInArrow(_verify, "a binary, b binary"), "links")
 
@@ -385,7 +387,7 @@ def _settle(pairs: DataFrame, texts: DataFrame, shared: DataFrame, classes: Data
     apart = pairs.join(one, ["a", "b"], "left_anti")
     for side in ("a", "b"):
         apart = apart.join(group.select(F.col("short").alias(side), F.col("group").alias(f"{side}_group")), side)
-    links = first.unionByName(_linked(apart.filter("a_group != b_group").select("a", "b"), texts))
+    links = first.unionByName(_linked(write_stage(apart.filter("a_group != b_group").select("a", "b"), "pairs"), texts))
 
     # Then the classes of each signature are compared once more, across the groups found.
     whole = classes.join(texts.select("short"), "short", "left_semi").select("short", F.col("n_shingles").alias("n"), "bits")
