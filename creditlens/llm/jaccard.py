@@ -44,8 +44,8 @@ REPORT_BYTES = 16_000_000
 LEAST_BITS = 2_048
 BLOCK = 2_000
 # Classes and bytes of text of a group of candidates that one task settles.
-DENSE = 4_000
-DENSE_BYTES = 16_000_000
+DENSE = 2_000
+DENSE_BYTES = 8_000_000
 SPOTS = 1 << 20
 KEY = ["row_file", "row_no"]
 
