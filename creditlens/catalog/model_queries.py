@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from creditlens.operators import grading as G
 from creditlens.operators import split as D
 from creditlens.plans import preparation as P
 from creditlens.plans import scoring as R
+from creditlens.plans.evaluation import evaluate_at_grade
 from creditlens.plans.training import train, training_rows
 from creditlens.session import new_path, write_stage
 from creditlens.sources import records
@@ -235,16 +238,12 @@ def h10(spark, sf):
 def h11(spark, sf):
     scorer, test = _encoded(spark, sf, "test")
     scored, names = M.member_probabilities(test, scorer.models)
-    scored = write_stage(scored.select("target", *names), "members")
-    parts = [
-        C.auc(scored, name, "target").select(
-            F.lit(i).alias("fold"), F.lit(model.getNumTrees).alias("trees"), "auc")
+    folds = F.array(*[
+        F.struct(F.lit(i).alias("fold"), F.lit(model.getNumTrees).alias("trees"), F.col(name).alias("pd"))
         for i, (name, model) in enumerate(zip(names, scorer.models))
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    ])
+    scored = write_stage(scored.select("target", F.inline(folds)), "members")
+    return C.auc(scored, "pd", "target", by=["fold", "trees"]).drop("gini")
 
 
 @query("h12_combine", """
@@ -264,6 +263,14 @@ def h12(spark, sf):
     return _probabilities(spark, sf)
 
 
+@query("h12_evaluation")
+def h12_evaluation(spark, sf):
+    scorer, rows = _trained(spark, sf)
+    graded = replace(scorer, grades=_grades(spark, sf))
+    # The cutoff is the upper end of the last grade but one of the model's own table.
+    return evaluate_at_grade(rows, graded, "id_aplikasi", graded.grades.count() - 1)
+
+
 @query("h13_forest_ensemble_pd")
 def h13(spark, sf):
     _, rows = _encoded(spark, sf)

@@ -459,6 +459,24 @@ def g11(spark, sf):
     return rounded(C.ks_two_sample(train, "pd", F.col("label") == 1), "statistic", "p_value")
 
 
+def _ks_by(source: str, value: str, second: str, by: str) -> str:
+    """``_ks_two`` of each value of ``by``."""
+    return f"""
+SELECT {by}, round(d, 6) AS statistic, n1, n2, round(CASE WHEN x < 0.2 THEN 1.0 ELSE {_P_VALUE} END, 6) AS p_value
+FROM (SELECT {by}, d, n1, n2, (sqrt(n1 * n2 / (n1 + n2)) + 0.12 + 0.11 / sqrt(n1 * n2 / (n1 + n2))) * d AS x FROM (
+  SELECT {by}, max(abs(ca / n1 - cb / n2)) AS d, any_value(n1) AS n1, any_value(n2) AS n2 FROM (
+    SELECT {by}, CAST(sum(a) OVER (PARTITION BY {by} ORDER BY v) AS DOUBLE) AS ca,
+      CAST(sum(b) OVER (PARTITION BY {by} ORDER BY v) AS DOUBLE) AS cb,
+      CAST(sum(a) OVER (PARTITION BY {by}) AS BIGINT) AS n1, CAST(sum(b) OVER (PARTITION BY {by}) AS BIGINT) AS n2 FROM (
+      SELECT {by}, {value} AS v, count(*) FILTER (NOT ({second})) AS a, count(*) FILTER ({second}) AS b
+      FROM {source} GROUP BY ALL)) GROUP BY {by}))"""
+
+
+@query("g11_ks_by_split", Q.with_view("scored", _ks_by("scored", "pd", "label = 1", "split")))
+def g11_by_split(spark, sf):
+    return rounded(C.ks_two_sample(_scored(spark, sf), "pd", F.col("label") == 1, by=["split"]), "statistic", "p_value")
+
+
 @query("g12_ks_of_histograms", Q.with_view("scored", _ks_two("hist", "n", "label = 1"), """
 limits AS (SELECT label, min(pd) AS lo, max(pd) AS hi, CAST(ceil(sqrt(ceil(count(*) / 1000.0) * 1000)) AS BIGINT) AS n
   FROM scored GROUP BY label),
@@ -501,6 +519,46 @@ def g15(spark, sf):
     return rounded(C.auc(_scored(spark, sf), "pd", "label"), "auc", "gini")
 
 
+# The same on train and test side by side.
+_ROC_BY = _ROC.replace("sum(neg) OVER ()", "sum(neg) OVER (PARTITION BY split)").replace(
+    "sum(pos) OVER ()", "sum(pos) OVER (PARTITION BY split)").replace("SELECT pd,", "SELECT split, pd,").replace(
+    "GROUP BY pd", "GROUP BY split, pd").replace("(ORDER BY pd DESC)", "(PARTITION BY split ORDER BY pd DESC)")
+_AUC_BY = f"""{_ROC_BY}, areas AS (SELECT split, sum((fpr - pf) * (tpr + pt) / 2) AS a FROM (
+  SELECT split, fpr, tpr, coalesce(lag(fpr) OVER w, 0) AS pf, coalesce(lag(tpr) OVER w, 0) AS pt FROM roc
+  WINDOW w AS (PARTITION BY split ORDER BY pd DESC)) GROUP BY split)"""
+
+
+@query("g13_confusion_by_split", Q.with_view("scored", """
+SELECT s.split, CAST(t.range AS INTEGER) AS true_label, CAST(p.range AS INTEGER) AS pred_label, count(label) AS n
+FROM (SELECT DISTINCT split FROM scored) s CROSS JOIN range(0, 2) t CROSS JOIN range(0, 2) p
+LEFT JOIN scored ON scored.split = s.split AND label = t.range AND CAST(pd > 0.12 AS INTEGER) = p.range GROUP BY ALL"""))
+def g13_by_split(spark, sf):
+    return C.confusion_counts(V.scored(spark, sf), "pd", "label", 0.12, by=["split"])
+
+
+@query("g14_roc_points_by_split", Q.with_view("scored", """
+SELECT split, pd AS threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM roc""", _ROC_BY))
+def g14_by_split(spark, sf):
+    return rounded(C.roc_points(_scored(spark, sf), "pd", "label", by=["split"]), "fpr", "tpr")
+
+
+@query("g15_auc_by_split", Q.with_view("scored", """
+SELECT split, round(a, 6) AS auc, round(2 * a - 1, 6) AS gini FROM areas""", _AUC_BY))
+def g15_by_split(spark, sf):
+    return rounded(C.auc(_scored(spark, sf), "pd", "label", by=["split"]), "auc", "gini")
+
+
+@query("g11_g15_evaluation", Q.with_view("scored", """
+SELECT split, n, bad, statistic AS ks, p_value, round(a, 6) AS auc, round(2 * a - 1, 6) AS gini, round(right_labels / n, 6) AS accuracy,
+  round(tp / predicted, 6) AS precision, round(tp / bad, 6) AS recall
+FROM (SELECT split, count(*) AS n, CAST(sum(label) AS BIGINT) AS bad, count(*) FILTER (CAST(pd > 0.12 AS INTEGER) = label) AS right_labels,
+    count(*) FILTER (pd > 0.12) AS predicted, count(*) FILTER (pd > 0.12 AND label = 1) AS tp FROM scored GROUP BY split)
+JOIN areas USING (split) JOIN ks USING (split)""", _AUC_BY, "ks AS (" + _ks_by("scored", "pd", "label = 1", "split") + ")"))
+def evaluation(spark, sf):
+    table = C.evaluation(_scored(spark, sf), "pd", "label", ["split"], 0.12)
+    return rounded(table, "ks", "p_value", "auc", "gini", "accuracy", "precision", "recall")
+
+
 @query("g16_accuracy", Q.with_view("scored", """
 SELECT split, round(avg(CAST(CAST(pd > 0.12 AS INTEGER) = label AS INTEGER)), 6) AS accuracy, count(*) AS n
 FROM scored GROUP BY split"""))

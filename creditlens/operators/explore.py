@@ -39,8 +39,31 @@ def sample_share(df: DataFrame, row_id: str, share: float, seed: int = 0) -> Dat
 
 
 def sample_rows(df: DataFrame, row_id: str, n: int, seed: int = 0) -> DataFrame:
-    """Random sample of exactly ``n`` rows without replacement."""
-    return df.orderBy(row_hash(F.col(row_id), seed), row_id).limit(n)
+    """Random sample of exactly ``n`` rows without replacement, all rows if there are no more; ``row_id`` tells them apart.
+
+    The rows of the ``n`` smallest (hash, id) are taken, null ids first. Two counts, by the upper bits of the hash and of the hashes with the upper bits
+    that matter, find the hash of the last of them, so no task gathers the sample. Only of the rows that share this one hash (about one
+    in 2^30) the smallest ids are ranked. The sample comes in random order, by a sort of its rows over all tasks.
+    """
+    draw = F.coalesce(row_hash(F.col(row_id), seed), F.lit(-1).cast("long"))
+    upper = F.shiftright(draw, 16)
+    part, before = _slice_of(df, upper, n, 0)
+    if part is None:
+        return df.orderBy(draw, row_id) if n > 0 else df.limit(0)
+    last, before = _slice_of(df.where(upper == part), draw, n, before)
+    rank, hash_of = "_sample_rank", F.lit(last).cast("long")
+    tied = df.where(draw == hash_of).withColumn(rank, F.row_number().over(W.partitionBy(draw).orderBy(row_id)))
+    return df.where(draw < hash_of).unionByName(tied.where(F.col(rank) <= n - before).drop(rank)).orderBy(draw, row_id)
+
+
+def _slice_of(df: DataFrame, key: Column, n: int, before: int) -> tuple[int | None, int]:
+    """The key (one of at most 2^16) at which the rows in its order come to ``n``, and the number of rows before it; ``before`` rows precede all."""
+    if n > 0:
+        for row in sorted(df.groupBy(key.alias("key")).count().collect()):
+            if before + row["count"] >= n:
+                return row["key"], before
+            before += row["count"]
+    return None, before
 
 
 def shuffled(df: DataFrame, row_id: str, seed: int = 0) -> DataFrame:

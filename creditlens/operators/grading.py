@@ -107,7 +107,7 @@ def pool_clusters(df: DataFrame, label: str, cluster: str = "cluster") -> DataFr
 def learn_grades(df: DataFrame, score: str, label: str, k: int = GRADE_COUNT) -> DataFrame:
     """The grade table of scored rows with known labels: best clusters, pooled until defaults rise, one grade each.
 
-    The table is written and checked, so that ``GradeRules`` accepts it; fewer than three grades are refused.
+    The table is written and checked, so that ``GradeRules`` accepts it; a single grade is refused.
     """
     known = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
     grades = write_stage(build_grades(pool_clusters(cluster_scores(known, score, k), label), score, label), "grades")
@@ -152,8 +152,8 @@ class GradeRules:
     def __init__(self, grades: DataFrame):
         columns = ["Rating", "Proba_MIN", "Proba_MAX", "Score_MIN", "Score_MAX"]
         rows = sorted(small_rows(grades.select(columns), "grade table"), key=lambda r: r["Rating"])
-        if len(rows) < 3:
-            raise ValueError("a grade table needs at least three grades")
+        if len(rows) < 2:
+            raise ValueError("a grade table needs at least two grades")
         uppers = [r["Proba_MAX"] for r in rows]
         if any(a >= b for a, b in zip(uppers, uppers[1:])):
             raise ValueError("upper probabilities must rise with the rating")

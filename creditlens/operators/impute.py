@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from creditlens.operators.ranges import exact_quantiles
+from creditlens.session import small_rows
 
 
 @dataclass
@@ -17,6 +18,19 @@ class FillValues:
 
     values: dict[str, object] = field(default_factory=dict)
 
+    def to_table(self, spark: SparkSession) -> DataFrame:
+        """One row per column: its text or its number, or neither."""
+        rows = [
+            (name, value if isinstance(value, str) else None, float(value) if value is not None and not isinstance(value, str) else None)
+            for name, value in self.values.items()
+        ]
+        return spark.createDataFrame(rows, "column string, text string, number double")
+
+    @staticmethod
+    def from_table(table: DataFrame) -> FillValues:
+        rows = small_rows(table, "table of fill values")
+        return FillValues({r["column"]: r["number"] if r["text"] is None else r["text"] for r in rows})
+
     def apply(self, df: DataFrame) -> DataFrame:
         filled = {}
         for name, value in self.values.items():

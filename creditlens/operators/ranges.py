@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_right
+from collections.abc import Sequence
+from functools import reduce
 from itertools import accumulate
+from operator import and_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -83,29 +86,47 @@ def find_splits(
     return Splits(counts, cuts)
 
 
+def same_keys(columns: Sequence[str], prefix: str) -> Column:
+    """Join condition: every column equals the one with the prefix; null equals null."""
+    return reduce(and_, [F.col(c).eqNullSafe(F.col(prefix + c)) for c in columns])
+
+
 def running_totals(
     df: DataFrame,
     value: str,
     measures: dict[str, Column],
     rows_per_range: int = ROWS_PER_RANGE,
     max_ranges: int = MAX_RANGES,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """One row per distinct ``value`` (ascending order meant) with, for each measure, its sum there
     and its sum over all smaller values (``<name>_before``).
 
-    ``measures`` are expressions to sum; they must be whole numbers for an exact result.
+    ``measures`` are expressions to sum; they must be whole numbers for an exact result. With ``by`` the totals
+    of each of its combinations (null is one) start anew; they share the slices of the value range, so a
+    combination with most of the rows is spread over tasks like a single column.
     """
-    prepared = df.select(missing_to_null(F.col(value)).alias(value), *[m.alias(k) for k, m in measures.items()])
+    by = list(by)
+    prepared = df.select(*by, missing_to_null(F.col(value)).alias(value), *[m.alias(k) for k, m in measures.items()])
     prepared = prepared.where(F.col(value).isNotNull())
     splits = find_splits(prepared, [value], rows_per_range, max_ranges)
     part = "_range_" + value
     ranged = splits.add_range_columns(prepared)
     sums = [F.sum(k).cast("long").alias(k) for k in measures]
-    per_value = ranged.groupBy(part, value).agg(*sums)
-    window = W.partitionBy(part).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
+    per_value = ranged.groupBy(*by, part, value).agg(*sums)
+    window = W.partitionBy(*by, part).orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
     before = {f"{k}_before": F.sum(k).over(window) - F.col(k) for k in measures}
     out = per_value.withColumns(before)
-    if splits.cuts[value]:
+    if splits.cuts[value] and by:
+        # At most MAX_RANGES rows per combination, which meet their rows in a join.
+        earlier = W.partitionBy(*by).orderBy(part).rowsBetween(W.unboundedPreceding, W.currentRow)
+        starts = ranged.groupBy(*by, part).agg(*sums).select(
+            *[F.col(c).alias("_start_" + c) for c in [*by, part]],
+            *[(F.sum(k).over(earlier) - F.col(k)).alias("_start_" + k) for k in measures],
+        )
+        out = out.join(starts, same_keys([*by, part], "_start_"))
+        out = out.withColumns({f"{k}_before": F.col(f"{k}_before") + F.col("_start_" + k) for k in measures})
+    elif splits.cuts[value]:
         # At most MAX_RANGES rows of sums come back and go out again as literals.
         totals = {r[part]: r for r in ranged.groupBy(part).agg(*sums).collect()}
         n = len(splits.cuts[value]) + 1
@@ -113,7 +134,7 @@ def running_totals(
             per_range = [(totals[i][k] or 0) if i in totals else 0 for i in range(n)]
             offsets = long_array([0, *accumulate(per_range)][:n])
             out = out.withColumn(f"{k}_before", F.col(f"{k}_before") + F.element_at(offsets, F.col(part) + 1))
-    return out.select(value, *measures, *before)
+    return out.select(*by, value, *measures, *before)
 
 
 def exact_quantiles(

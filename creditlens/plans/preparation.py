@@ -113,6 +113,14 @@ def model_input(v2: DataFrame, keep_id: str | None = None) -> DataFrame:
     return df.select(*([keep_id] if keep_id else []), *numbers, S.TARGET)
 
 
+def fit_prepare(raw: DataFrame, keep_id: str | None = None) -> tuple[DataFrame, FillValues]:
+    """The modelling table, and the fill values that later applications are prepared with."""
+    cleaned = write_stage(clean(raw, keep_id), "clean")
+    fill = fit_imputation(cleaned, keep_id)
+    filled = fill.apply(_with_side_business(cleaned))
+    return stage_model_table(stage_ratios(filled), keep_id=keep_id), fill
+
+
 def prepare(raw: DataFrame, keep_id: str | None = None, fill: FillValues | None = None) -> DataFrame:
     """Raw applications to the modelling table."""
     return stage_model_table(stage_ratios(stage_clean(raw, keep_id, fill)), keep_id=keep_id)

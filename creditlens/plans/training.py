@@ -13,20 +13,25 @@ from pyspark.sql import functions as F
 from creditlens import schemas as S
 from creditlens.functions.hashing import row_hash
 from creditlens.operators import balance, encode, ensemble, split
+from creditlens.operators.grading import learn_grades
+from creditlens.operators.impute import FillValues
+from creditlens.plans import preparation
 from creditlens.session import write_stage
 
 
-_ABOUT = "models int, method string, graded boolean"
+_ABOUT = "models int, method string, graded boolean, filled boolean"
 
 
 @dataclass
 class Scorer:
-    """Fitted encoder, the models of the folds, and the grade table learned from their probabilities, if there is one."""
+    """Fitted encoder, the models of the folds, and, if there are any, the grade table learned from their probabilities and the fill
+    values that raw applications need."""
 
     encoder: PipelineModel
     models: list
     method: str = "max"
     grades: DataFrame | None = None
+    fill: FillValues | None = None
 
     @property
     def feature_names(self) -> list[str]:
@@ -39,7 +44,10 @@ class Scorer:
             model.write().overwrite().save(f"{path}/model-{i}")
         if self.grades is not None:
             self.grades.coalesce(1).write.mode("overwrite").parquet(f"{path}/grades")
-        about = spark.createDataFrame([(len(self.models), self.method, self.grades is not None)], _ABOUT)
+        if self.fill is not None:
+            self.fill.to_table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/fill")
+        about = spark.createDataFrame(
+            [(len(self.models), self.method, self.grades is not None, self.fill is not None)], _ABOUT)
         about.write.mode("overwrite").json(f"{path}/about")
 
     @staticmethod
@@ -48,7 +56,8 @@ class Scorer:
         about = spark.read.schema(_ABOUT).json(f"{path}/about").first()
         models = [GBTClassificationModel.load(f"{path}/model-{i}") for i in range(about["models"])]
         grades = spark.read.parquet(f"{path}/grades") if about["graded"] else None
-        return Scorer(PipelineModel.load(f"{path}/encoder"), models, about["method"], grades)
+        fill = FillValues.from_table(spark.read.parquet(f"{path}/fill")) if about["filled"] else None
+        return Scorer(PipelineModel.load(f"{path}/encoder"), models, about["method"], grades, fill)
 
 
 def training_rows(
@@ -98,3 +107,21 @@ def train(
         data = balance.class_weights(data, S.TARGET)
     models = ensemble.fit_folds(data, folds, rounds=rounds, weight="weight" if class_weights else None, seed=seed)
     return Scorer(encoder, models, method)
+
+
+def train_graded(rows: DataFrame, row_id: str, **options) -> Scorer:
+    """``train``, and the grades of the probabilities of the rows it learned from."""
+    scorer = train(rows, row_id, **options)
+    learn = split.add_split(rows.where(F.col(S.TARGET).isNotNull()), row_id).where("split = 'train'")
+    scored = ensemble.ensemble_probability(encode.encode(scorer.encoder, learn), scorer.models, scorer.method)
+    scorer.grades = learn_grades(write_stage(scored.select(row_id, "pd", S.TARGET), "graded"), "pd", S.TARGET)
+    return scorer
+
+
+def train_on_raw(raw: DataFrame, row_id: str, **options) -> Scorer:
+    """From raw applications to a scorer with grades and fill values, which ``scoring.score_raw`` can use in another session."""
+    table, fill = preparation.fit_prepare(raw, row_id)
+    rows = write_stage(preparation.model_input(table, row_id), "model-input")
+    scorer = train_graded(rows, row_id, **options)
+    scorer.fill = fill
+    return scorer

@@ -90,3 +90,11 @@ def test_grades_are_saved_with_the_scorer(spark, tmp_path):
         assert loaded.method == "mean" and (loaded.grades is None) == (own is None)
         if own is not None:
             assert sorted(loaded.grades.collect()) == sorted(own.collect())
+
+
+def test_two_grades_are_enough(spark):
+    df = scored(spark, [0.0, 0.0, 0.5])
+    rules = G.GradeRules(G.learn_grades(df, "pd", "target", 3))
+    got = {r["pd"]: (r["rating"], r["score"]) for r in df.select("pd", rules.rating(F.col("pd")).alias("rating"), rules.score(F.col("pd")).alias("score")).collect()}
+    assert {r for r, _ in got.values()} == {1, 2} and all(s is not None for _, s in got.values())
+    assert max(p for p, (r, _) in got.items() if r == 1) < min(p for p, (r, _) in got.items() if r == 2)
