@@ -156,10 +156,10 @@ def _describe(rarity: int):
                 rows = part.slice(at, len(texts))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(rows.column(c) for c in (*KEY, "doc_id")), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()),
-                        pa.array(bits, pa.binary()), pa.array(report, pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())]))),
+                        *(rows.column(c) for c in (*KEY, "doc_id")), pa.array([len(t) for t in texts], pa.int64()),
+                        pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(bits, pa.binary()), pa.array(report, pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())]))),
                     ],
-                    [*KEY, "doc_id", "n_shingles", "set_id", "bits", "often"],
+                    [*KEY, "doc_id", "bytes", "n_shingles", "set_id", "bits", "often"],
                 )
 
     return run
@@ -342,9 +342,8 @@ def _candidates(members: DataFrame, maps: DataFrame, forest: bool) -> DataFrame:
     return write_stage(units.mapInArrow(_compare_units(forest), "a long, b long").distinct(), "pairs")
 
 
-def _texts_of(grouped: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """``grouped`` (short, component) with set id and text of one document of each class."""
-    places = write_stage(classes.join(grouped, "short").select(*KEY, "short", "set_id", "component"), "places")
+def _texts_of(places: DataFrame, rows: DataFrame) -> DataFrame:
+    """``places`` (row key, short, set id, component) of one document of each class, with the text."""
     spot = F.pmod(F.xxhash64(*KEY), F.lit(SPOTS)).cast("int")
     # Most texts are in no group: a bitmap of fixed size keeps them from the shuffle, and what it lets through by chance ends in the join.
     wanted = np.zeros(SPOTS, bool)
@@ -357,7 +356,7 @@ def _texts_of(grouped: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFr
             yield part.filter(pa.array(known[part.column("spot").to_numpy()]))
 
     asked = rows.select(*KEY, "text", spot.alias("spot")).mapInArrow(run, "row_file long, row_no long, text binary, spot int")
-    return write_stage(places.join(asked.drop("spot"), KEY).select("short", "set_id", "component", "text"), "texts")
+    return places.join(asked.drop("spot"), KEY).select("short", "set_id", "component", "text")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -407,7 +406,7 @@ def join(docs: DataFrame, text: str = "text", row_id: str = "doc_id", **options)
 def _join(rows: DataFrame, rarity: int = RARITY, dense: int = DENSE) -> DataFrame:
     spark = rows.sparkSession
     sets = write_stage(
-        rows.mapInArrow(_describe(rarity), "row_file long, row_no long, doc_id long, n_shingles long, set_id binary, bits binary, often array<struct<token:bigint,n:bigint>>"),
+        rows.mapInArrow(_describe(rarity), "row_file long, row_no long, doc_id long, bytes long, n_shingles long, set_id binary, bits binary, often array<struct<token:bigint,n:bigint>>"),
         "sets",
     )
     least = sets.count() / (2 * rarity)
@@ -417,7 +416,7 @@ def _join(rows: DataFrame, rarity: int = RARITY, dense: int = DENSE) -> DataFram
     members = sets.filter("n_shingles > 0").withColumn("short", F.conv(F.hex(F.substring("set_id", 1, 8)), 16, -10).cast("long"))
     classes = write_stage(
         members.groupBy("set_id", "short", "n_shingles")
-        .agg(F.min(F.struct(*KEY)).alias("place"), F.min("doc_id").alias("smallest"), F.min("bits").alias("bits"))
+        .agg(F.min(F.struct(*KEY, "bytes")).alias("place"), F.min("doc_id").alias("smallest"), F.min("bits").alias("bits"))
         .select("set_id", "short", "n_shingles", "place.*", "smallest", "bits"), "classes",
     )
     # A signature of one class finds nothing; only shared ones are kept.
@@ -437,14 +436,15 @@ def _join(rows: DataFrame, rarity: int = RARITY, dense: int = DENSE) -> DataFram
 
     # What may link at all is connected by these pairs. A group of candidates that fits a task is settled there, each text sent once.
     grouped = components(pairs).withColumnRenamed("node", "short")
-    texts = _texts_of(grouped, classes, rows)
-    size = texts.groupBy("component").agg(F.count("*").alias("members"), F.sum(F.octet_length("text")).alias("bytes"))
+    places = write_stage(classes.join(grouped, "short").select(*KEY, "short", "set_id", "component", "bytes"), "places")
+    size = places.groupBy("component").agg(F.count("*").alias("members"), F.sum("bytes").alias("bytes"))
     crowded = write_stage(size.filter((F.col("members") > dense) | (F.col("bytes") > DENSE_BYTES)).select("component"), "crowded")
-    fitting = texts.join(crowded, "component", "left_anti").select("component", "set_id", "text").repartition("component").sortWithinPartitions("component")
+    fitting = _texts_of(places.join(crowded, "component", "left_anti"), rows).select("component", "set_id", "text")
+    fitting = fitting.repartition("component").sortWithinPartitions("component")
     groups = write_stage(fitting.mapInArrow(_label_groups, "node binary, component binary"), "groups")
     if not crowded.isEmpty():
-        held = write_stage(texts.join(crowded, "component", "left_semi").select("short", "set_id", "text"), "crowded-texts")
-        groups = groups.unionByName(_settle(pairs, held, shared, classes))
+        held = _texts_of(places.join(crowded, "component", "left_semi"), rows)
+        groups = groups.unionByName(_settle(pairs, write_stage(held.select("short", "set_id", "text"), "crowded-texts"), shared, classes))
 
     labels = classes.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     smallest = labels.groupBy("component").agg(F.min("smallest").alias("component_id"))
