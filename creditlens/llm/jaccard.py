@@ -15,7 +15,7 @@ of their sets has at least 80 % of the size of the union.
    few bits. A signature only gives the pairs that connect what is near (a forest, so a group of near copies does not list all its pairs).
 5. Verification compares the whole sets, made again from the whole texts. All that may link is connected by the pairs, so a group of connected classes
    that fits a task (``DENSE`` classes) is sent there, each text once, and settled exactly; only the label of each class leaves it. In larger groups the pairs are
-   verified, first one per class; then the classes are compared by signature once more, now between the groups that links leave apart.
+   tried by longer bitmaps and then verified, first one per class; then the classes are compared by signature once more, now between the groups that links leave apart.
    Components over pairs and links are found by alternating stars.
 
 Edge cases: a null text has no words; a text with less than five words is one shingle; a set without shingles links with nothing,
@@ -47,6 +47,8 @@ BLOCK = 2_000
 DENSE = 2_000
 DENSE_BYTES = 8_000_000
 SPOTS = 1 << 20
+# Bits a token of the bitmaps that pairs in large groups are tried by before texts are sent.
+FINE_BITS = 8
 KEY = ["row_file", "row_no"]
 
 
@@ -73,9 +75,9 @@ def set_id(tokens: np.ndarray) -> bytes:
     return mixed(np.concatenate(sums) + np.uint64(len(tokens))).astype(">u8").tobytes()
 
 
-def parity_bits(tokens: np.ndarray) -> bytes:
-    """A bitmap that each token flips one bit of. Two of them differ in no more bits than their sets differ in tokens."""
-    size = max(LEAST_BITS, 1 << max(0, 2 * len(tokens) - 1).bit_length())
+def parity_bits(tokens: np.ndarray, bits: int = 2) -> bytes:
+    """A bitmap of at least ``bits`` bits a token, each of which flips one. Two of them differ in no more bits than their sets differ in tokens."""
+    size = max(LEAST_BITS, 1 << max(0, bits * len(tokens) - 1).bit_length())
     flips = np.bincount((tokens % np.uint64(size)).astype(np.int64), minlength=size) & 1
     return np.packbits(flips.astype(np.uint8)).tobytes()
 
@@ -359,8 +361,35 @@ def _texts_of(places: DataFrame, rows: DataFrame) -> DataFrame:
     return places.join(asked.drop("spot"), KEY).select("short", "set_id", "component", "text")
 
 
-def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _fine_maps(parts):
+    """(short, n, fine) of each text: size and long bitmap of its set."""
+    for part in parts:
+        for at, texts in _batches(part, 2_000_000):
+            sets = _sets_of(texts)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("short").slice(at, len(texts)), pa.array([len(x) for x in sets], pa.int64()), pa.array([parity_bits(x, FINE_BITS) for x in sets], pa.binary())],
+                ["short", "n", "fine"],
+            )
+
+
+def _near_by_fine_maps(parts):
+    """The pairs whose long bitmaps allow a link."""
+    for part in parts:
+        keep = []
+        for a_n, b_n, a_fine, b_fine in zip(*(part.column(c).to_pylist() for c in ("a_n", "b_n", "a_fine", "b_fine"))):
+            size = min(len(a_fine), len(b_fine))
+            x, y = (int.from_bytes(folded(m, size), "big") for m in (a_fine, b_fine))
+            keep.append((100 + PERCENT) * (x ^ y).bit_count() <= (100 - PERCENT) * (a_n + b_n))
+        keep = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], ["a", "b"])
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, fine: DataFrame) -> DataFrame:
     """The pairs (a, b of short ids) that link, as pairs of set ids."""
+    # The texts of pairs that only nearly link would be most of what is sent; the long bitmaps of ``fine`` (short, n, fine) rule them out first.
+    for side in ("a", "b"):
+        pairs = pairs.join(fine.select(F.col("short").alias(side), F.col("n").alias(f"{side}_n"), F.col("fine").alias(f"{side}_fine")), side)
+    pairs = write_stage(pairs.mapInArrow(_near_by_fine_maps, "a long, b long"), "pairs")
     # Only texts that are in a pair are sent.
     of = lambda side: texts.join(pairs.select(F.col(side).alias("short")).distinct(), "short", "left_semi")
     b_side = pairs.join(of("b").select(F.col("short").alias("b"), F.col("set_id").alias("b_id"), F.col("text").alias("b_text")), "b")
@@ -378,19 +407,20 @@ def _settle(pairs: DataFrame, texts: DataFrame, shared: DataFrame, classes: Data
         near = texts.select("short", "set_id").join(groups.withColumnRenamed("node", "set_id"), "set_id", "left")
         return near.select("short", F.xxhash64(F.coalesce("component", "set_id")).alias("group"))
 
+    fine = write_stage(texts.select("short", "text").mapInArrow(_fine_maps, "short long, n long, fine binary"), "fine")
     pairs = pairs.join(texts.select(F.col("short").alias("a")), "a", "left_semi")
     # One pair per class connects most of what links; of the others only those between groups that are still apart matter.
     one = write_stage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
-    first = _linked(one, texts)
+    first = _linked(one, texts, fine)
     group = placed(first)
     apart = pairs.join(one, ["a", "b"], "left_anti")
     for side in ("a", "b"):
         apart = apart.join(group.select(F.col("short").alias(side), F.col("group").alias(f"{side}_group")), side)
-    links = first.unionByName(_linked(write_stage(apart.filter("a_group != b_group").select("a", "b"), "pairs"), texts))
+    links = first.unionByName(_linked(write_stage(apart.filter("a_group != b_group").select("a", "b"), "pairs"), texts, fine))
 
     # Then the classes of each signature are compared once more, across the groups found.
     whole = classes.join(texts.select("short"), "short", "left_semi").select("short", F.col("n_shingles").alias("n"), "bits")
-    links = links.unionByName(_linked(_candidates(shared.join(placed(links), "short"), whole, forest=False), texts))
+    links = links.unionByName(_linked(_candidates(shared.join(placed(links), "short"), whole, forest=False), texts, fine))
     return components(links)
 
 
