@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from creditlens.functions.hashing import row_hash, unit_hash
-from creditlens.operators.ranges import long_array, running_totals
+from creditlens.operators.ranges import running_totals
 from creditlens.session import MAX_SMALL_ROWS, write_stage
 
 # --- fixed values ---------------------------------------------------------------------------
@@ -38,19 +38,11 @@ def class_weights(df: DataFrame, label: str, weights: dict = CLASS_WEIGHTS, out:
 
 # Nearest neighbours --------------------------------------------------------------------------
 #
-# Exact, without comparing all pairs. Equal rows are one point. A bounded set of pivots cuts the
-# points into cells; a point is compared with a cell only if the triangle inequality does not rule
-# the cell out. Cells are cut into blocks of bounded size, so a crowded cell is many tasks.
-
-
-@dataclass
-class _Cells:
-    """Pivots and, per cell, its size, radius and smallest distances to the pivot."""
-
-    pivots: np.ndarray
-    sizes: np.ndarray
-    radius: np.ndarray
-    nearest: np.ndarray  # (cells, k + 1), infinite where a cell holds fewer points
+# Exact, without comparing all pairs. Equal rows are one point. Pivots cut the points into cells, and
+# pivots chosen anew inside each crowded cell cut that one, until every cell fits a task: a tree of
+# cells whose levels are tables. The neighbours in a point's own leaf bound the distance to its
+# nearest ones; with that bound the point goes down the tree, and the triangle inequality rules cells
+# out. All meetings are dealt to groups of bounded size, so a crowded cell is many tasks.
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -66,22 +58,6 @@ def _matrix(rows: pd.Series) -> np.ndarray:
     return np.array(rows.tolist(), dtype="float64")
 
 
-def _reachable(points: np.ndarray, cells: _Cells, k: int) -> list[np.ndarray]:
-    """Cells that may hold one of the k nearest neighbours of each point.
-
-    A cell's i-th smallest distance to its pivot bounds the distance to i of its points from above.
-    The (k+1)-th smallest of all such bounds covers k points besides the point itself. Slack covers
-    rounding.
-    """
-    to_pivot = np.sqrt(_distances(points, cells.pivots))
-    bounds = (to_pivot[:, :, None] + cells.nearest[None, :, :]).reshape(len(points), -1)
-    at = min(k, bounds.shape[1] - 1)
-    reach = np.partition(bounds, at, axis=1)[:, at]
-    near = to_pivot - cells.radius[None, :] <= (reach * (1 + 1e-9) + 1e-9)[:, None]
-    near &= cells.sizes[None, :] > 0
-    return [np.flatnonzero(row).astype("int32") for row in near]
-
-
 def _refuse_gaps(rows: DataFrame, features: list[str]) -> None:
     """A distance to a row with a null, NaN or infinite feature has no meaning."""
     bad = [F.count_if(F.coalesce(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(True))).alias(f) for f, x in
@@ -96,99 +72,157 @@ def nearest_neighbours(
     row_id: str,
     features: list[str],
     k: int = NEIGHBOURS,
-    max_pivots: int = 2048,
     cell: int = 1024,
+    fanout: int = 1024,
+    depth: int = 6,
     block: int = 4096,
 ) -> DataFrame:
     """The ``k`` nearest other rows of each row by Euclidean distance, ties by the smaller id.
 
-    There is one pivot for every ``cell`` points, up to ``max_pivots``; blocks hold about ``block`` points.
+    A cell of more than ``block`` points is split into one cell for every ``cell`` points, at most ``fanout``; cells that are
+    still crowded after ``depth`` levels are cut into blocks of about ``block`` points.
 
     Result: (row_id, slot 0..k-1, neighbour, distance2); fewer slots if there are fewer other rows.
     """
-    spark = points.sparkSession
+    if (fanout + 1) ** depth >= 2**63:
+        raise ValueError("the cells of such a tree have no numbers")
     _refuse_gaps(points, features)
     vector = F.array(*[F.col(f).cast("double") for f in features])
     rows = points.select(F.col(row_id).cast("long").alias("id"), vector.alias("v"))
     # Equal rows are one point, named by the smallest id.
     distinct = write_stage(rows.groupBy("v").agg(F.min("id").alias("point")), "points")
-    pivots = max(1, min(max_pivots, -(-distinct.count() // cell)))
-    sample = distinct.orderBy(row_hash(F.col("point"), 7), "point").limit(pivots).collect()
-    if not sample:
-        return spark.createDataFrame([], f"{row_id} long, slot int, neighbour long, distance2 double")
-    centres = np.array([r["v"] for r in sample], dtype="float64")
-    shared = spark.sparkContext.broadcast(centres)
-
-    @F.pandas_udf("struct<cell:int,distance:double>")
-    def home_cell(v: pd.Series) -> pd.DataFrame:
-        cells, near = [], []
-        for i in range(0, len(v), 512):
-            d = _distances(_matrix(v.iloc[i:i + 512]), shared.value)
-            cells.append(d.argmin(axis=1))
-            near.append(np.sqrt(d[np.arange(len(d)), cells[-1]]))
-        return pd.DataFrame({"cell": np.concatenate(cells).astype("int32"), "distance": np.concatenate(near)})
-
-    placed = write_stage(
-        distinct.withColumn("home", home_cell("v")).select("point", "v", "home.cell", "home.distance"), "cells"
-    )
-    cells = _describe_cells(placed, centres, k)
-    n_blocks = np.maximum(1, -(-cells.sizes // block)).astype("int32")
-    # Plain arrays: a broadcast of an own class would need this package on the workers.
-    shared_cells = spark.sparkContext.broadcast(tuple(vars(cells).values()))
-
-    @F.pandas_udf("array<int>")
-    def cells_to_visit(v: pd.Series) -> pd.Series:
-        c = _Cells(*shared_cells.value)
-        parts = [_reachable(_matrix(v.iloc[i:i + 512]), c, k) for i in range(0, len(v), 512)]
-        return pd.Series([cell for part in parts for cell in part])
-
-    count_of = F.element_at(long_array(n_blocks), F.col("cell") + 1).cast("int")
-    base = placed.select(
-        "cell", (row_hash(F.col("point"), 11) % count_of).cast("int").alias("block"),
+    leaves, levels = _grow(distinct, k, cell, fanout, depth, block)
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    base = leaves.select(
+        "cell", (row_hash(F.col("point"), 11) % blocks).cast("int").alias("block"),
         F.col("point").alias("other"), F.col("v").alias("w"),
     )
-    visits = placed.select("point", "v", F.explode(cells_to_visit("v")).alias("cell")).select(
-        "cell", F.explode(F.sequence(F.lit(0), count_of - 1)).alias("block"), "point", "v"
-    )
-    found = _block_neighbours(visits, base, k, block, int(n_blocks.sum()))
+    at_blocks = ["cell", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "point", "v"]
     best = W.partitionBy("point").orderBy("distance2", "neighbour")
+    own = _block_neighbours(leaves.select(*at_blocks), base, k, block)
+    own = write_stage(own.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r"), "own-cell")
+    found = own
+    if levels:
+        visits = _descend(leaves, own, levels, k, block)
+        found = own.unionByName(_block_neighbours(visits.select(*at_blocks), base, k, block))
     near_points = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
     return _spread_to_rows(rows, distinct, near_points, row_id, k)
 
 
-def _describe_cells(placed: DataFrame, centres: np.ndarray, k: int) -> _Cells:
-    """At most k + 2 rows per pivot come back."""
-    sizes = {r["cell"]: r for r in placed.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.max("distance").alias("radius")).collect()}
-    # The limit on the rank reaches the map side, so a crowded cell sends few rows per task.
-    rank = F.row_number().over(W.partitionBy("cell").orderBy("distance", "point"))
-    smallest = placed.withColumn("r", rank).where(F.col("r") <= k + 1).select("cell", "r", "distance").collect()
-    n = len(centres)
-    out = _Cells(centres, np.zeros(n, dtype="int64"), np.zeros(n), np.full((n, k + 1), np.inf))
-    for cell, r in sizes.items():
-        out.sizes[cell], out.radius[cell] = r["n"], r["radius"]
-    for r in smallest:
-        out.nearest[r["cell"], r["r"] - 1] = r["distance"]
-    return out
+def _if_small(stage: DataFrame) -> DataFrame:
+    """A written table, hinted as a broadcast side if its checked size allows."""
+    return F.broadcast(stage) if stage.count() <= MAX_SMALL_ROWS else stage
+
+
+def _meet(visitors: DataFrame, tables: DataFrame, keys: list[str], group: int, meeting, schema: str) -> DataFrame:
+    """``meeting(visitors, table rows)`` of each key, in groups of about ``group`` visitors; the table rows go to each group."""
+    crowds = visitors.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("groups"))
+    crowds = _if_small(write_stage(crowds, "crowds"))
+    dealt = (row_hash(F.col("point"), 17) % F.col("groups")).cast("int")
+    visitors = visitors.join(crowds, keys).withColumn("grp", dealt).drop("groups")
+    tables = tables.join(crowds, keys).withColumn("grp", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+    # Both sides may stem from one stage; new columns keep them apart.
+    left, right = (df.toDF(*df.columns).groupBy(*keys, "grp") for df in (visitors, tables))
+    return left.cogroup(right).applyInPandas(meeting, schema)
 
 
-def _block_neighbours(visits: DataFrame, base: DataFrame, k: int, block: int, n_blocks: int) -> DataFrame:
-    """The k nearest points of one block for each visiting point: k rows per visit, never all pairs.
+def _grow(distinct: DataFrame, k: int, cell: int, fanout: int, depth: int, block: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The points with their leaf (point, v, cell, n, bound), and per level its cells (parent, cell, centre, n, split, radius).
 
-    Visitors of a block are cut into groups as well; the block goes to each of them. The table of
-    group counts has one row per block, which decides how it is joined.
+    A cell's (k + 1)-th smallest distance to its pivot bounds the distance from a point to k others; ``bound`` is the least such
+    bound along the point's way down.
     """
-    crowds = visits.groupBy("cell", "block").count().select(
-        "cell", "block", F.ceil(F.col("count") / block).cast("int").alias("groups")
+    here = distinct.select(
+        "point", "v", F.lit(0).cast("long").alias("cell"), F.lit(distinct.count()).cast("long").alias("n"),
+        F.lit(float("inf")).alias("bound"),
     )
-    if n_blocks <= MAX_SMALL_ROWS:
-        crowds = F.broadcast(crowds)
-    visits = visits.join(crowds, ["cell", "block"]).withColumn(
-        "grp", (row_hash(F.col("point"), 17) % F.col("groups")).cast("int")
-    ).drop("groups")
-    base = base.join(crowds, ["cell", "block"]).withColumn(
-        "grp", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))
-    ).drop("groups")
+    leaves, levels = [], []
+    for level in range(depth):
+        leaves.append(here.where(F.col("n") <= block))
+        here = here.where(F.col("n") > block)
+        # The limit on the rank reaches the map side, so a crowded cell sends few rows per task.
+        rank = F.row_number().over(W.partitionBy("cell").orderBy(row_hash(F.col("point"), 7 + level), "point"))
+        chosen = here.withColumn("slot", rank).where(F.col("slot") <= fanout).where(F.col("slot") <= F.ceil(F.col("n") / cell))
+        pivots = write_stage(chosen.select(
+            F.col("cell").alias("parent"), (F.col("cell") * (fanout + 1) + F.col("slot")).alias("cell"), F.col("v").alias("centre"),
+        ), "pivots")
+        if pivots.isEmpty():
+            break
+        children = pivots.select(F.col("parent").alias("cell"), F.col("cell").alias("child"), "centre")
+        placed = write_stage(_meet(
+            here.select("cell", "point", "v", "bound"), children, ["cell"], 16 * block, _home_cell,
+            "point long, v array<double>, bound double, cell long, distance double",
+        ), "cells")
+        sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("radius"))
+        rank = F.row_number().over(W.partitionBy("cell").orderBy("distance", "point"))
+        kth = placed.withColumn("r", rank).where(F.col("r") <= k + 1).where(F.col("r") == k + 1)
+        split = (F.col("n") > block) & F.lit(level + 1 < depth)
+        about = write_stage(
+            pivots.join(sizes, "cell").join(kth.select("cell", F.col("distance").alias("kth")), "cell", "left")
+            .withColumn("split", split), "levels",
+        )
+        levels.append(about)
+        # Least ignores the null of a cell with k points or fewer.
+        here = placed.join(_if_small(about.select("cell", "n", "kth")), "cell").select(
+            "point", "v", "cell", "n", F.least("bound", F.col("distance") + F.col("kth")).alias("bound")
+        )
+    leaves.append(here)
+    return write_stage(reduce(DataFrame.unionByName, leaves), "leaves"), levels
+
+
+def _home_cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """The child with the nearest pivot for each point of a cell."""
+    if left.empty or right.empty:
+        return pd.DataFrame({"point": [], "v": [], "bound": [], "cell": [], "distance": []})
+    right = right.sort_values("child")
+    names, centres = right["child"].to_numpy(), _matrix(right["centre"])
+    cells, near = [], []
+    for i in range(0, len(left), 512):
+        d = _distances(_matrix(left["v"].iloc[i:i + 512]), centres)
+        at = d.argmin(axis=1)
+        cells.append(names[at])
+        near.append(np.sqrt(d[np.arange(len(d)), at]))
+    return left[["point", "v", "bound"]].assign(cell=np.concatenate(cells), distance=np.concatenate(near))
+
+
+def _reachable(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """The children of a cell that may hold a point within the bound, but for the point's own leaf; slack covers rounding."""
+    columns = ["point", "v", "bound", "home", "cell", "n", "split"]
+    if left.empty or right.empty:
+        return pd.DataFrame({c: [] for c in columns})
+    names, centres, radius = right["child"].to_numpy(), _matrix(right["centre"]), right["radius"].to_numpy()
+    parts = []
+    for i in range(0, len(left), 512):
+        some = left.iloc[i:i + 512]
+        reach = some["bound"].to_numpy() * (1 + 1e-9) + 1e-9
+        near = np.sqrt(_distances(_matrix(some["v"]), centres)) - radius[None, :] <= reach[:, None]
+        near &= some["home"].to_numpy()[:, None] != names[None, :]
+        row, col = np.nonzero(near)
+        parts.append(some[["point", "v", "bound", "home"]].iloc[row].assign(
+            cell=names[col], n=right["n"].to_numpy()[col], split=right["split"].to_numpy()[col]))
+    return pd.concat(parts)[columns]
+
+
+def _descend(leaves: DataFrame, own: DataFrame, levels: list[DataFrame], k: int, block: int) -> DataFrame:
+    """(point, v, cell, n) for each leaf, other than its own, that may hold one of a point's ``k`` nearest neighbours."""
+    kth = own.groupBy("point").agg(F.when(F.count(F.lit(1)) == k, F.sqrt(F.max("distance2"))).alias("kth"))
+    here = write_stage(leaves.join(kth, "point", "left").select(
+        F.lit(0).cast("long").alias("cell"), "point", "v", F.least("bound", "kth").alias("bound"), F.col("cell").alias("home")
+    ), "bounds")
+    visits = []
+    for about in levels:
+        children = about.select(F.col("parent").alias("cell"), F.col("cell").alias("child"), "centre", "n", "split", "radius")
+        reached = write_stage(_meet(
+            here, children, ["cell"], 16 * block, _reachable,
+            "point long, v array<double>, bound double, home long, cell long, n long, split boolean",
+        ), "visits")
+        visits.append(reached.where(~F.col("split")).select("point", "v", "cell", "n"))
+        here = reached.where("split").select("cell", "point", "v", "bound", "home")
+    return reduce(DataFrame.unionByName, visits)
+
+
+def _block_neighbours(visits: DataFrame, base: DataFrame, k: int, block: int) -> DataFrame:
+    """The k nearest points of one block for each visiting point: k rows per visit, never all pairs."""
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -211,10 +245,7 @@ def _block_neighbours(visits: DataFrame, base: DataFrame, k: int, block: int, n_
             parts.append(pd.DataFrame({"point": own[row[keep]], "neighbour": ids[col[keep]], "distance2": near[keep]}))
         return pd.concat(parts)
 
-    keys = ["cell", "block", "grp"]
-    return visits.groupBy(*keys).cogroup(base.groupBy(*keys)).applyInPandas(
-        search, "point long, neighbour long, distance2 double"
-    )
+    return _meet(visits, base, ["cell", "block"], block, search, "point long, neighbour long, distance2 double")
 
 
 def _spread_to_rows(rows: DataFrame, distinct: DataFrame, near_points: DataFrame, row_id: str, k: int) -> DataFrame:
@@ -232,6 +263,8 @@ def _spread_to_rows(rows: DataFrame, distinct: DataFrame, near_points: DataFrame
     others = near_points.join(first.withColumnRenamed("point", "neighbour"), "neighbour").select("point", "distance2", "ids")
     candidates = own.unionByName(others).select("point", "distance2", F.explode("ids").alias("neighbour"))
     listed = candidates.groupBy("point").agg(F.sort_array(F.collect_list(F.struct("distance2", "neighbour"))).alias("c"))
+    # Written, so that a point with a third of all rows meets a plain table and adaptive execution can split its rows.
+    listed = write_stage(listed, "listed")
     kept = members.join(listed, "point").select(
         F.col("id").alias(row_id), F.slice(F.filter("c", lambda e: e["neighbour"] != F.col("id")), 1, k).alias("c")
     )

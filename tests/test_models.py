@@ -34,7 +34,7 @@ def brute_force(points, k):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"cell": 8, "block": 16}])
+@pytest.mark.parametrize("options", [{}, {"cell": 8, "block": 16}, {"cell": 4, "block": 6, "fanout": 3}, {"cell": 2, "block": 3, "fanout": 2, "depth": 1}])
 def test_neighbours_with_a_third_of_copies(spark, options):
     vectors = [(3.0, 4.0)] * 50 + [tuple(map(float, v)) for v in RNG.integers(0, 12, (100, 2))]
     points = [(i * 3, v) for i, v in enumerate(vectors)]
