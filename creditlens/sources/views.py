@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from creditlens.functions.hashing import unit_hash
 from creditlens.functions.numbers import default_flag
+from creditlens.operators.joins import join_summary
 
 # --- fixed values: texts that the rules choose from ------------------------------------------
 
@@ -65,12 +66,13 @@ def returned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def loan_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw application table.
 
-    Both joins are outer joins to unique keys, so Catalyst drops the ones a query does not need.
+    All joins are outer joins to unique keys, so Catalyst drops the ones a query does not need. A customer with a large share of the
+    orders is dealt to several tasks.
     """
     orders = table(spark, sf_dir, "orders")
-    customers = table(spark, sf_dir, "customer").groupBy("c_custkey").agg(F.max("c_acctbal").alias("c_acctbal"))
+    customers = table(spark, sf_dir, "customer")
     lines = returned_lines(spark, sf_dir)
-    df = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
+    df = join_summary(orders, customers, "o_custkey", "c_custkey", F.col("o_orderkey"), c_acctbal=F.max("c_acctbal"))
     df = df.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     o, k = F.col("o_orderkey"), F.col("o_custkey")
     day = F.col("o_orderdate").cast("date")
