@@ -94,3 +94,25 @@ def test_scorers_without_grades_and_empty_registries_are_refused(spark, scorer,
     spark.createDataFrame([], "version long, path string").write.json(f"{registry}/versions")
     with pytest.raises(ValueError):
         newest(spark, registry)
+
+
+def test_each_record_is_parsed_once(spark, scorer, places, monkeypatch):
+    source, results, rejects, state, registry = places
+    seen = spark.sparkContext.accumulator(0)
+    original = R.parse_json
+
+    def counted(text):
+        seen.add(1)
+        return text
+
+    def parse(df, record, *rest):
+        return original(df.withColumn(record, F.udf(counted, "string")(record)), record, *rest)
+
+    monkeypatch.setattr(R, "parse_json", parse)
+    texts = [t for t in requests() if t]
+    publish(scorer, registry)
+    arrive(spark, source, texts)
+    serve(spark, source, results, rejects, state, registry, once=True).awaitTermination()
+    assert seen.value == len(texts)
+    monkeypatch.undo()
+    assert plain(sinks(spark, results, rejects)) == plain(expected(spark, scorer, texts, 1))
