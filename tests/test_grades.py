@@ -6,6 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from creditlens.catalog import check_queries as checks
+from creditlens.catalog import model_queries
 from creditlens.operators import grading as G
 from creditlens.plans.training import Scorer
 
