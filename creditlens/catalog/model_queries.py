@@ -288,7 +288,9 @@ def h14(spark, sf):
 
 @query("h15_score_clusters")
 def h15(spark, sf):
-    return G.cluster_scores(_probabilities(spark, sf, "train"), "pd").select("id_aplikasi", "pd", "cluster")
+    # Written, as the clusters are found in several passes over the scores.
+    scored = write_stage(_probabilities(spark, sf, "train").select("id_aplikasi", "pd"), "scored")
+    return G.cluster_scores(scored, "pd").select("id_aplikasi", "pd", "cluster")
 
 
 @query("h15_optimal_intervals", """

@@ -100,3 +100,28 @@ def test_two_grades_are_enough(spark):
     got = {r["pd"]: (r["rating"], r["score"]) for r in df.select("pd", rules.rating(F.col("pd")).alias("rating"), rules.score(F.col("pd")).alias("score")).collect()}
     assert {r for r, _ in got.values()} == {1, 2} and all(s is not None for _, s in got.values())
     assert max(p for p, (r, _) in got.items() if r == 1) < min(p for p, (r, _) in got.items() if r == 2)
+
+
+def test_the_check_of_grades_knows_tables_of_two(spark):
+    columns = "Rating int, Proba_MIN double, Proba_MAX double, Score_MIN double, Score_MAX double"
+    grades = spark.createDataFrame([(1, 0.1, 0.3, 400.0, 1000.0), (2, 0.4, 0.9, 0.0, 200.0)], columns)
+    df = spark.createDataFrame([(x,) for x in (0.0, 0.1, 0.2, 0.3, 0.35, 0.4, 0.9, 1.0)], "pd double")
+    rows = checks._graded(G.add_grades(df, grades), grades).collect()
+    assert [r.rating for r in rows] == [1, 1, 1, 1, 2, 2, 2, 2]
+    assert all(r.grade_holds for r in rows)
+    wrong = G.add_grades(df, grades).withColumn("rating", 3 - F.col("rating"))
+    assert not any(r.grade_holds for r in checks._graded(wrong, grades).collect())
+
+
+def test_scores_are_made_once_for_their_clusters(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return x
+
+    scores = spark.range(50).select(F.col("id").alias("id_aplikasi"), F.udf(counted, "double")(F.col("id") / 100).alias("pd"))
+    monkeypatch.setattr(model_queries, "_probabilities", lambda *_: scores)
+    rows = model_queries.h15(spark, "").collect()
+    assert sorted(r.id_aplikasi for r in rows) == list(range(50)) and {r.cluster for r in rows} == set(range(8))
+    assert seen.value == 50
