@@ -159,6 +159,27 @@ def test_contributions_add_up_to_the_log_odds(trained):
         assert r["s"] == pytest.approx(odds[r["id_aplikasi"]], abs=1e-9)
 
 
+def test_contributions_are_added_up_a_batch_of_rows_at_once(spark, trained):
+    scorer, rows = trained
+    vectors = E.encode(scorer.encoder, rows).select(F.when(F.col("id_aplikasi") % 2 == 0, F.col("id_aplikasi")).alias("k"), "features")
+    model = scorer.models[0]
+    parts = {}
+    for tree, leaf, changes in X.leaf_contributions(model, scorer.feature_names):
+        parts[tree, leaf] = changes
+    want = []
+    for r in model.copy().setLeafCol("leaf").transform(vectors).select("k", "leaf").collect():
+        sums = [0.0] * (len(scorer.feature_names) + 1)
+        for tree, leaf in enumerate(r["leaf"]):
+            sums = [a + b for a, b in zip(sums, parts[tree, int(leaf)])]
+        want += [(r["k"], n, x) for n, x in zip([*scorer.feature_names, X.INTERCEPT], sums)]
+    got = X.explain_rows(vectors, model, scorer.feature_names, "k")
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "aggregate(" not in plan and "Exchange" not in plan
+    assert X.explain_rows(vectors.limit(0), model, scorer.feature_names, "k").count() == 0
+
+
 def test_importance_counts_splits(trained):
     scorer, _ = trained
     table = {r["feature"]: r["importance"] for r in M.split_importance(scorer.models, scorer.feature_names).collect()}
