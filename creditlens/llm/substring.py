@@ -12,11 +12,12 @@ the same one. The suffixes of all texts are taken word by word:
    top down, all at once: level by level the nodes are split by the next word, to the right of the anchors and, for the words
    before them, to the left. A window is repeated if the pair of left and right nodes that spell its 35 words has two leaves or more: these are the
    deep internal nodes, and neighbouring ones are maximal repeats.
-4. Longer prefixes. A prefix with more than ``GROUP_LIMIT`` suffixes is extended to the full 35 words. Such a group is one
-   node, so its leaves are only counted (partial sums first, so that a window with a third of all rows is no load) and joined back.
+4. Longer prefixes. A prefix with more than ``GROUP_LIMIT`` suffixes is extended to the full 35 words. All windows of an anchor are one run, and
+   the windows of equal runs are listed once, with the number of the runs, so copies cost a row per anchor, and repeats inside a document none. A window is repeated if its runs
+   add up to two or more; such places are joined back to the runs.
 5. Removal. The covered words of each document are dropped.
 
-Words are compared by 64-bit hashes, whole windows of step 4 by two of them; all places of such a window in a document are one row.
+Words are compared by 64-bit hashes, whole windows and runs of step 4 by two of them.
 
 Edge cases: a null text has no words; texts below 35 words keep all; repeated rows count as other places, so both lose
 all their words if long enough; a very long text is one unit of work; an empty table gives an empty result; other columns are not used, a null id stays.
@@ -32,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from creditlens.llm.text import Words, chunks, window_hashes, with_row_key
+from creditlens.llm.text import Words, chunks, mixed, window_hashes, with_row_key
 from creditlens.session import write_stage
 
 WINDOW = 35
@@ -43,6 +44,7 @@ PLACES = WINDOW - PREFIX + 1
 
 _PLACE_BITS = np.uint64((1 << 28) - 1)
 _ANCHOR = "struct<prefix:bigint,long_prefix:boolean,start:int,offset:int,windows:int>"
+_WINDOWS = "array<struct<one:bigint,two:bigint>>"
 KEY = ["row_file", "row_no"]
 
 
@@ -146,7 +148,7 @@ def _contexts(parts):
 
 
 def _whole_windows(parts):
-    """Two hashes of all windows at anchors whose prefix was extended to the window."""
+    """The windows of each anchor whose prefix was extended to the window, as two hashes each, and two hashes over all of them."""
     for part in parts:
         file, no = part.column("row_file").to_numpy(), part.column("row_no").to_numpy()
         for at, texts in _texts(part, "text"):
@@ -156,19 +158,26 @@ def _whole_windows(parts):
             words = Words(texts)
             hashes = words.hashes()
             one, two = window_hashes(hashes, WINDOW), window_hashes(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5), WINDOW)
-            stop = np.cumsum(windows)
-            of = np.repeat(doc, windows)
-            place = np.repeat(start - (stop - windows), windows) + np.arange(stop[-1])
-            rows = words.first[of] + place
-            # One row for all places of a window in a document.
-            order = np.lexsort((place, two[rows], one[rows], of))
-            of, place, one, two = of[order], place[order], one[rows][order], two[rows][order]
-            first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
-            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(place)).astype(np.int32)), pa.array(place.astype(np.int32)))
-            of = at + of[first]
+            first = np.cumsum(windows) - windows
+            step = np.arange(int(windows.sum())) - np.repeat(first, windows)
+            rows = words.first[np.repeat(doc, windows)] + np.repeat(start, windows) + step
+            place = mixed((step + 1).astype(np.uint64))
+            whole = [mixed(np.add.reduceat(mixed(x[rows] + place), first) + windows.astype(np.uint64)) for x in (one, two)]
+            # One row for all places of a run in a document.
+            order = np.lexsort((start, whole[1], whole[0], doc))
+            ranked = [x[order] for x in (doc, *whole)]
+            new = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in ranked], axis=0)]))
+            starts = pa.ListArray.from_arrays(pa.array(np.append(new, len(order)).astype(np.int32)), pa.array(start[order]))
+            of = order[new]
+            ends = np.concatenate([[0], np.cumsum(windows[of])])
+            own = rows[np.repeat(first[of] - ends[:-1], windows[of]) + np.arange(ends[-1])]
+            pairs = pa.StructArray.from_arrays([pa.array(x[own].view(np.int64)) for x in (one, two)], ["one", "two"])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(one[first].view(np.int64)), pa.array(two[first].view(np.int64)), pa.array(file[of]), pa.array(no[of]), places],
-                ["one", "two", *KEY, "places"],
+                [
+                    *(pa.array(x[of].view(np.int64)) for x in whole), pa.array(file[at + doc[of]]), pa.array(no[at + doc[of]]), starts,
+                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pairs),
+                ],
+                ["whole_one", "whole_two", *KEY, "starts", "windows"],
             )
 
 
@@ -284,10 +293,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
         .withColumn("bin", F.pmod(F.xxhash64("prefix"), F.lit(bins)))
         .groupBy("bin").applyInArrow(_build_subtrees, "row_file long, row_no long, first int, stop int")
     )
-    windows = hits.mapInArrow(_whole_windows, "one long, two long, row_file long, row_no long, places array<int>")
-    # Written, so that a frequent window meets a plain table and adaptive execution can split its places.
-    twice = write_stage(windows.groupBy("one", "two").agg(F.sum(F.size("places")).alias("n")).filter("n > 1").drop("n"), "windows")
-    whole = windows.join(twice, ["one", "two"]).select(*KEY, F.transform("places", lambda x: F.struct(x.alias("first"), (x + WINDOW).alias("stop"))).alias("ranges"))
+    runs = write_stage(hits.mapInArrow(_whole_windows, f"whole_one long, whole_two long, row_file long, row_no long, starts array<int>, windows {_WINDOWS}"), "runs")
+    # Windows are listed once per distinct run of them, however many documents have it.
+    whole_run = ["whole_one", "whole_two"]
+    distinct = write_stage(runs.groupBy(*whole_run).agg(F.sum(F.size("starts")).alias("n"), F.first("windows").alias("windows")), "distinct-runs")
+    windows = distinct.select(*whole_run, "n", F.posexplode("windows").alias("at", "window")).select(*whole_run, "n", "at", "window.*")
+    twice = write_stage(windows.groupBy("one", "two").agg(F.sum("n").alias("n")).filter("n > 1").drop("n"), "windows")
+    # Written, so that a frequent run meets a plain table and adaptive execution can split its places.
+    marked = write_stage(windows.join(twice, ["one", "two"]).groupBy(*whole_run).agg(F.collect_list("at").alias("at")), "marked-runs")
+    places = F.flatten(F.transform("starts", lambda s: F.transform("at", lambda x: F.struct((s + x).alias("first"), (s + x + WINDOW).alias("stop")))))
+    whole = runs.select(*whole_run, *KEY, "starts").join(marked, whole_run).select(*KEY, places.alias("ranges"))
     short = short.select(*KEY, F.array(F.struct("first", "stop")).alias("ranges"))
     ranges = short.unionByName(whole).groupBy(*KEY).agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     finished = split.filter("anchors IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")

@@ -92,6 +92,35 @@ def test_substring_random_repeats(documents):
         assert got == repeats([r[:2] for r in rows])
 
 
+def test_substring_copies_are_listed_by_anchor(documents):
+    rng = np.random.default_rng(6)
+    w = [f"v{x}" for x in rng.integers(0, 90, 200)]
+    rows = [(i, " ".join(w), "s") for i in range(40)] + [(40 + i, " ".join([*w[:90], f"own{i}", *w[91:]]), "s") for i in range(5)]
+    made, listed = [], substring.write_stage
+
+    def counted(df, name):
+        out = listed(df, name)
+        made.append((name, out))
+        return out
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(substring, "write_stage", counted)
+        got = read(substring.remove_repeats(documents(rows), group_limit=2), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == repeats([r[:2] for r in rows])
+    sizes = {name: df.count() for name, df in made}
+    # One row per anchor and document; the windows of the 40 copies are listed once, those of each of the 5 near copies where they differ.
+    assert sizes["runs"] < 45 * 166 / 5
+    assert sizes["distinct-runs"] < sizes["runs"] / 4
+    made.clear()
+    rows = [(i, " ".join(w[:40] * 30), "s") for i in range(4)]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(substring, "write_stage", counted)
+        got = read(substring.remove_repeats(documents(rows), group_limit=2), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == repeats([r[:2] for r in rows])
+    # A line that a document repeats has its runs once, but for those at the end.
+    assert dict(made)["runs"].count() < 4 * 12
+
+
 def test_substring_small_tables(spark, documents):
     rows = small_rows(spark)
     got = read(substring.remove_repeats(documents(rows)), "doc_id", "n_words", "n_removed", "kept_sha256")
