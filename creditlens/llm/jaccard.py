@@ -31,11 +31,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from creditlens.llm.components import components
 from creditlens.llm.text import Words, chunks, mixed, unused, window_hashes, with_row_key
-from creditlens.session import empty_stage, write_stage
+from creditlens.session import write_stage
 
 SHINGLE = 5
 PERCENT = 80
@@ -43,6 +44,8 @@ RARITY = 2_000
 REPORT_BYTES = 16_000_000
 LEAST_BITS = 2_048
 BLOCK = 2_000
+# Members of a signature for each bin that its unit may be dealt to.
+BIN = 64
 # Classes and bytes of text of a group of candidates that one task settles.
 DENSE = 2_000
 DENSE_BYTES = 8_000_000
@@ -324,22 +327,27 @@ def _candidates(members: DataFrame, maps: DataFrame, forest: bool) -> DataFrame:
     """Pairs (a, b) of the classes of each signature that may link, from ``members`` (sign, short, group) and ``maps`` (short, n, bits).
 
     Only signatures between different groups matter. A large one is cut into blocks by hash and a unit of work compares two blocks, so each
-    member is sent once per block. The bitmaps join in last, so they are shuffled once.
+    member is sent once per block. The bitmaps join in last, so they are shuffled once. Near copies meet in many units: those with the same
+    smallest class go to the same few bins, more of them the more members they have. There the rows of a class follow each other as they are
+    sent, in the order of the join, so that its bitmap is compressed to one copy a bin and not sent anew for each unit.
     """
     mixed_signs = (
-        members.groupBy("sign").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("members"))
-        .filter("low != high").select("sign", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+        members.groupBy("sign").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.min("short").alias("first"), F.count("*").alias("members"))
+        .filter("low != high").select(
+            "sign", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"),
+            F.xxhash64("first", F.pmod(F.xxhash64("sign"), F.ceil(F.col("members") / BIN))).alias("bin"),
+        )
     )
     units = (
         members.join(write_stage(mixed_signs, "open"), "sign")
         .withColumn("own", F.pmod(F.xxhash64("short", "sign"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
-            "sign", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
+            "bin", "sign", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
             (F.col("own") > F.col("other")).cast("int").alias("side"), "short", "group",
         )
         .join(maps, "short")
-        .repartition("sign", "low", "high").sortWithinPartitions("sign", "low", "high")
+        .repartition("bin", "low", "high").sortWithinPartitions("sign", "low", "high")
     )
     return write_stage(units.mapInArrow(_compare_units(forest), "a long, b long").distinct(), "pairs")
 
@@ -362,13 +370,16 @@ def _texts_of(places: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def _fine_maps(parts):
-    """(short, n, fine) of each text: size and long bitmap of its set."""
+    """(short, n, bits, fine) of each text: size, bitmap and long bitmap of its set."""
     for part in parts:
         for at, texts in _batches(part, 2_000_000):
             sets = _sets_of(texts)
             yield pa.RecordBatch.from_arrays(
-                [part.column("short").slice(at, len(texts)), pa.array([len(x) for x in sets], pa.int64()), pa.array([parity_bits(x, FINE_BITS) for x in sets], pa.binary())],
-                ["short", "n", "fine"],
+                [
+                    part.column("short").slice(at, len(texts)), pa.array([len(x) for x in sets], pa.int64()),
+                    *(pa.array(maps, pa.binary()) for maps in ([parity_bits(x) for x in sets], [parity_bits(x, FINE_BITS) for x in sets])),
+                ],
+                ["short", "n", "bits", "fine"],
             )
 
 
@@ -398,7 +409,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, fine: DataFrame) -> DataFrame:
     return write_stage(ready.mapInArrow(_verify, "a binary, b binary"), "links")
 
 
-def _settle(pairs: DataFrame, texts: DataFrame, shared: DataFrame, classes: DataFrame) -> DataFrame:
+def _settle(pairs: DataFrame, texts: DataFrame, shared: DataFrame) -> DataFrame:
     """(node, component) of the classes of ``texts``, whose groups of candidates are too large for a task."""
 
     def placed(links):
@@ -407,7 +418,7 @@ def _settle(pairs: DataFrame, texts: DataFrame, shared: DataFrame, classes: Data
         near = texts.select("short", "set_id").join(groups.withColumnRenamed("node", "set_id"), "set_id", "left")
         return near.select("short", F.xxhash64(F.coalesce("component", "set_id")).alias("group"))
 
-    fine = write_stage(texts.select("short", "text").mapInArrow(_fine_maps, "short long, n long, fine binary"), "fine")
+    fine = write_stage(texts.select("short", "text").mapInArrow(_fine_maps, "short long, n long, bits binary, fine binary"), "fine")
     pairs = pairs.join(texts.select(F.col("short").alias("a")), "a", "left_semi")
     # One pair per class connects most of what links; of the others only those between groups that are still apart matter.
     one = write_stage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
@@ -419,8 +430,8 @@ def _settle(pairs: DataFrame, texts: DataFrame, shared: DataFrame, classes: Data
     links = first.unionByName(_linked(write_stage(apart.filter("a_group != b_group").select("a", "b"), "pairs"), texts, fine))
 
     # Then the classes of each signature are compared once more, across the groups found.
-    whole = classes.join(texts.select("short"), "short", "left_semi").select("short", F.col("n_shingles").alias("n"), "bits")
-    links = links.unionByName(_linked(_candidates(shared.join(placed(links), "short"), whole, forest=False), texts, fine))
+    members = write_stage(shared.join(placed(links), "short"), "members")
+    links = links.unionByName(_linked(_candidates(members, fine.select("short", "n", "bits"), forest=False), texts, fine))
     return components(links)
 
 
@@ -449,11 +460,10 @@ def _join(rows: DataFrame, rarity: int = RARITY, dense: int = DENSE) -> DataFram
         .agg(F.min(F.struct(*KEY, "bytes")).alias("place"), F.min("doc_id").alias("smallest"), F.min("bits").alias("bits"))
         .select("set_id", "short", "n_shingles", "place.*", "smallest", "bits"), "classes",
     )
-    # A signature of one class finds nothing; only shared ones are kept.
-    index = write_stage(rows.select("text").mapInArrow(_index(spark.sparkContext.broadcast(frequent)), "sign long, short long"), "index")
-    counted = index.groupBy("sign").count().filter("count > 1").select("sign")
-    shared = write_stage(index.join(counted, "sign").distinct(), "shared")
-    empty_stage(index)
+    # A signature of one class finds nothing; only shared ones are kept. All are sent once, as they are made, and never written.
+    index = rows.select("text").mapInArrow(_index(spark.sparkContext.broadcast(frequent)), "sign long, short long")
+    ends = [F.min("short").over(W.partitionBy("sign")).alias("least"), F.max("short").over(W.partitionBy("sign")).alias("most")]
+    shared = write_stage(index.select("*", *ends).filter("least != most").select("sign", "short").distinct(), "shared")
     # Signatures of the very same classes say the same, and near copies share many; one of them is enough (by the number of classes and 128 bits over them).
     marks = [F.bit_xor(F.xxhash64("short", F.lit(k))).alias(f"mark_{k}") for k in (1, 2)]
     alike = shared.groupBy("sign").agg(F.count("*").alias("members"), *marks)
@@ -474,7 +484,7 @@ def _join(rows: DataFrame, rarity: int = RARITY, dense: int = DENSE) -> DataFram
     groups = write_stage(fitting.mapInArrow(_label_groups, "node binary, component binary"), "groups")
     if not crowded.isEmpty():
         held = _texts_of(places.join(crowded, "component", "left_semi"), rows)
-        groups = groups.unionByName(_settle(pairs, write_stage(held.select("short", "set_id", "text"), "crowded-texts"), shared, classes))
+        groups = groups.unionByName(_settle(pairs, write_stage(held.select("short", "set_id", "text"), "crowded-texts"), shared))
 
     labels = classes.join(groups.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     smallest = labels.groupBy("component").agg(F.min("smallest").alias("component_id"))

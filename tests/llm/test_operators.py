@@ -183,6 +183,24 @@ def test_jaccard_group_of_near_copies(documents, monkeypatch, block):
     assert got == linked_components([r[:2] for r in rows])
 
 
+@pytest.mark.parametrize("size", [1, 64])
+def test_signatures_are_written_only_if_shared(documents, monkeypatch, size):
+    stages, write = {}, jaccard.write_stage
+
+    def kept(df, name):
+        stages.setdefault(name, []).append(write(df, name))
+        return stages[name][-1]
+
+    monkeypatch.setattr(jaccard, "write_stage", kept)
+    monkeypatch.setattr(jaccard, "BIN", size)
+    rows = near_copies(40, 120, 9, 5) + [(1000 + i, " ".join(f"o{i}w{j}" for j in range(90)), "s") for i in range(30)]
+    got = read(jaccard.join(documents(rows), dense=1), "doc_id", "n_shingles", "component_id")
+    assert got == linked_components([r[:2] for r in rows])
+    assert "index" not in stages and stages["members"]
+    for shared in stages["shared"]:
+        assert min(r["n"] for r in shared.groupBy("sign").agg(F.count_distinct("short").alias("n")).collect()) > 1
+
+
 def test_linked_sets_share_a_signature():
     rng = np.random.default_rng(3)
     for _ in range(400):
