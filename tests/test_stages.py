@@ -9,7 +9,7 @@ from creditlens.operators import impute as I
 from creditlens.operators import shaping as B
 from creditlens.operators.explore import sample_rows, sample_share
 from creditlens.plans import preparation as P
-from creditlens.session import new_path
+from creditlens.session import compiled_methods, new_path
 from creditlens.sources import records as R
 from creditlens.sources import tables as A
 from creditlens.sources import views as V
@@ -120,3 +120,48 @@ def test_no_python_in_the_plans(spark, sf_dir, prefix):
         plan = plan_of(QUERIES[name](spark, sf_dir))
         assert "Python" not in plan and "InPandas" not in plan, name
         assert "CartesianProduct" not in plan, name
+
+
+def test_incomplete_rows_are_found_without_columns_that_are_never_null(spark):
+    nan = float("nan")
+    rows = [(1, "a", 1.0, 1.0), (2, None, 1.0, 1.0), (3, "a", None, 1.0), (4, "a", nan, 1.0), (5, "a", float("inf"), -1.0), (6, "a", 1.0, nan), (7, " ", float("-inf"), 0.0)]
+    df = spark.createDataFrame(rows, "i int, t string, x double, f float").repartition(2)
+    df = df.withColumn("n", F.when(F.trim("t") == "a", F.lit("A")).otherwise(F.lit("")))
+    got = B.drop_incomplete(df, ["n", "t", "x", "f"])
+    assert {r["i"] for r in got.collect()} == {r["i"] for r in df.na.drop(subset=["n", "t", "x", "f"]).collect()} == {1, 5, 7}
+    conditions = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+    assert conditions and not any("trim" in line for line in conditions)
+    whole = df.select("n", F.lit(nan).alias("x"))
+    assert B.drop_incomplete(whole, ["n"]).count() == 7 and B.drop_incomplete(whole, ["n", "x"]).count() == 0
+
+
+def test_cleaning_parses_a_date_and_strips_a_text_once(spark, sf_dir):
+    cleaned = P.clean(V.loan_raw(spark, sf_dir), "id_aplikasi")
+    fields = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    try:
+        plan = cleaned._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", fields)
+    # Two dates, and the date of birth once more in the filter of complete rows; education, and the end of the job.
+    assert plan.count("gettimestamp(") == 3
+    assert plan.count("trim(") == 2
+
+
+def test_wide_expressions_are_compiled_in_any_session(spark, sf_dir):
+    other = spark.newSession()
+    for limit, used in (("65535", "8000"), ("5000", "5000")):
+        other.conf.set("spark.sql.codegen.hugeMethodLimit", limit)
+        with pytest.raises(KeyError), compiled_methods(other):
+            assert other.conf.get("spark.sql.codegen.hugeMethodLimit") == used
+            raise KeyError
+        assert other.conf.get("spark.sql.codegen.hugeMethodLimit") == limit
+    found = []
+    seen = P.write_stage
+    try:
+        P.write_stage = lambda df, name: found.append(df.sparkSession.conf.get("spark.sql.codegen.hugeMethodLimit")) or seen(df, name)
+        other.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+        P.prepare(V.loan_raw(other, sf_dir), "id_aplikasi")
+    finally:
+        P.write_stage = seen
+    assert found == ["8000"]
