@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from creditlens import schemas as S
+from creditlens import session
+from creditlens.catalog import check_queries as K
+from creditlens.catalog import model_queries as Q
 from creditlens.operators import grading as G
 from creditlens.plans import preparation as P
 from creditlens.plans import scoring as R
@@ -116,3 +119,28 @@ def test_each_record_is_parsed_once(spark, scorer, places, monkeypatch):
     assert seen.value == len(texts)
     monkeypatch.undo()
     assert plain(sinks(spark, results, rejects)) == plain(expected(spark, scorer, texts, 1))
+
+
+@pytest.fixture
+def unlimited(spark):
+    """The session as one that ``build_session`` did not make, with no limit on generated methods."""
+    before = spark.conf.get(session.METHOD_LIMIT)
+    spark.conf.set(session.METHOD_LIMIT, "65535")
+    yield spark
+    spark.conf.set(session.METHOD_LIMIT, before)
+
+
+def limit_in(df):
+    return df.sparkSession.conf.get(session.METHOD_LIMIT)
+
+
+@pytest.mark.parametrize("query, passes", [(Q.s3, 1), (Q.s5, 1), (K.s3_checks, 2), (K.s5_checks, 1)])
+def test_scored_rows_are_compiled_in_any_session(unlimited, sf_dir, scorer, monkeypatch, query, passes):
+    monkeypatch.setitem(Q._TRAINED, (unlimited.sparkContext.applicationId, sf_dir), (scorer, Q._input(unlimited, sf_dir)))
+    monkeypatch.setattr(Q, "_grades", lambda *_: scorer.grades)
+    seen, write = [], session.write_stage
+    monkeypatch.setattr(session, "write_stage", lambda df, name: seen.append(limit_in(df)) or write(df, name))
+    # Nothing of the models is left to the session that reads the rows.
+    assert "UDF" not in query(unlimited, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert seen == ["8000"] * passes
+    assert unlimited.conf.get(session.METHOD_LIMIT) == "65535"
