@@ -14,7 +14,8 @@ from creditlens.plans import scoring as R
 from creditlens.plans.training import Scorer, train
 from creditlens.session import new_path
 from creditlens.sources import views as V
-from creditlens.streaming.scoring import newest, publish, serve
+from creditlens.streaming import scoring as C
+from creditlens.streaming.scoring import newest, publish, serve, start_scoring
 from tests.test_models import requests
 
 
@@ -134,6 +135,24 @@ def limit_in(df):
     return df.sparkSession.conf.get(session.METHOD_LIMIT)
 
 
+def test_batches_of_a_stream_are_compiled_in_any_session(unlimited, scorer, places, monkeypatch):
+    source, results, rejects, state, registry = places
+    seen, score, start = [], C.score_checked, DataStreamWriter.start
+    monkeypatch.setattr(C, "score_checked", lambda df, *rest: seen.append(limit_in(df)) or score(df, *rest))
+    texts = [t for t in requests() if t]
+    publish(scorer, registry)
+    arrive(unlimited, source, texts)
+    serve(unlimited, source, results, rejects, state, registry, once=True).awaitTermination()
+    monkeypatch.undo()
+    monkeypatch.setattr(DataStreamWriter, "start", lambda w: seen.append(unlimited.conf.get(session.METHOD_LIMIT)) or start(w))
+    more, log = (new_path(unlimited, n) for n in ("results", "state"))
+    start_scoring(unlimited, source, more, log, scorer, scorer.grades, once=True).awaitTermination()
+    assert seen == ["8000", "8000"]
+    assert unlimited.conf.get(session.METHOD_LIMIT) == "65535"
+    assert plain(sinks(unlimited, results, rejects)) == plain(expected(unlimited, scorer, texts, 1))
+    assert unlimited.read.schema("request string").json(more).count() == len(texts)
+
+
 @pytest.mark.parametrize("query, passes", [(Q.s3, 1), (Q.s5, 1), (K.s3_checks, 2), (K.s5_checks, 1)])
 def test_scored_rows_are_compiled_in_any_session(unlimited, sf_dir, scorer, monkeypatch, query, passes):
     monkeypatch.setitem(Q._TRAINED, (unlimited.sparkContext.applicationId, sf_dir), (scorer, Q._input(unlimited, sf_dir)))
