@@ -2,7 +2,8 @@
 
 import numpy as np
 from pyspark.ml.classification import GBTClassificationModel
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import DenseVector, Vectors, VectorUDT
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,3 +39,36 @@ def test_noisy_rounds_do_not_end_boosting(spark):
         again = GBTClassificationModel.load(path)
         p = [[r[0] for r in M.ensemble_probability(held, [m], out="p").select("p").collect()] for m in (b, again, a)]
         assert p[0] == p[1] != p[2]
+
+
+class Probe:
+    """Stands for a classifier and keeps the vector that it is given."""
+
+    def copy(self):
+        return self
+
+    def setFeaturesCol(self, name):
+        self.features = name
+        return self
+
+    def setProbabilityCol(self, name):
+        self.probability = name
+        return self
+
+    def setRawPredictionCol(self, name):
+        return self
+
+    setPredictionCol = setRawPredictionCol
+
+    def transform(self, df):
+        self.seen = df.select(self.features).first()[0]
+        return df.withColumn(self.probability, array_to_vector(F.array(F.lit(0.25), F.lit(0.75))))
+
+
+def test_members_look_entries_up_in_dense_vectors(spark):
+    df = spark.createDataFrame([(1, Vectors.sparse(40, {3: 2.5, 17: -1.0}))], ["id", "features"])
+    probe = Probe()
+    scored, names = M.member_probabilities(df, [probe])
+    assert isinstance(probe.seen, DenseVector)
+    assert probe.seen == Vectors.sparse(40, {3: 2.5, 17: -1.0})
+    assert scored.columns == ["id", "features", *names] and scored.first()[names[0]] == 0.75
