@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from creditlens.operators import ensemble as M
+from creditlens.operators import explain as X
 from creditlens.session import new_path
 
 SCHEMA = T.StructType([
@@ -72,3 +73,23 @@ def test_members_look_entries_up_in_dense_vectors(spark):
     assert isinstance(probe.seen, DenseVector)
     assert probe.seen == Vectors.sparse(40, {3: 2.5, 17: -1.0})
     assert scored.columns == ["id", "features", *names] and scored.first()[names[0]] == 0.75
+
+
+def test_explanations_look_entries_up_in_dense_vectors(spark, monkeypatch):
+    class Leaves(Probe):
+        treeWeights = [1.0]
+
+        def setLeafCol(self, name):
+            self.leaf = name
+            return self
+
+        def transform(self, df):
+            self.seen = df.select(self.features).first()[0]
+            return df.withColumn(self.leaf, array_to_vector(F.array(F.lit(1.0))))
+
+    monkeypatch.setattr(X, "leaf_contributions", lambda model, names: [(0, 0, [9.0, 9.0]), (0, 1, [0.5, -2.0])])
+    df = spark.createDataFrame([(1, Vectors.sparse(40, {3: 2.5}))], ["id", "features"])
+    probe = Leaves()
+    got = {r["feature"]: r["contribution"] for r in X.explain_rows(df, probe, ["a"], "id").collect()}
+    assert isinstance(probe.seen, DenseVector)
+    assert got == {"a": 0.5, X.INTERCEPT: -2.0}
