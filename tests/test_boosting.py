@@ -1,5 +1,8 @@
 """Number of boosting rounds that are used."""
 
+import threading
+import time
+
 import numpy as np
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.functions import array_to_vector
@@ -93,3 +96,38 @@ def test_explanations_look_entries_up_in_dense_vectors(spark, monkeypatch):
     got = {r["feature"]: r["contribution"] for r in X.explain_rows(df, probe, ["a"], "id").collect()}
     assert isinstance(probe.seen, DenseVector)
     assert got == {"a": 0.5, X.INTERCEPT: -2.0}
+
+
+def test_fits_run_side_by_side_as_far_as_memory_allows(spark, monkeypatch):
+    running, most, lock = [0], [0], threading.Lock()
+
+    class Learner:
+        getNumTrees = 1
+
+        def __init__(self, **options):
+            pass
+
+        def fit(self, rows):
+            with lock:
+                running[0] += 1
+                most[0] = max(most[0], running[0])
+            time.sleep(0.5)
+            with lock:
+                running[0] -= 1
+            return self
+
+        def evaluateEachIteration(self, rows):
+            return [1.0]
+
+    monkeypatch.setattr(M, "GBTClassifier", Learner)
+    rows = spark.createDataFrame([(Vectors.sparse(5, {1: 1.0}), 0, i % 5, [i % 5]) for i in range(1000)], SCHEMA)
+    each = 800 * (M.POINT_BYTES + 5 * M.BIN_BYTES) if hasattr(M, "POINT_BYTES") else 0
+    for memory, fits in ((5 * each, 5), (2 * each + 1, 2), (each // 2, 1)):
+        most[0] = 0
+        monkeypatch.setattr(M, "storage_memory", lambda spark: memory, raising=False)
+        assert len(M.fit_folds(rows, 5)) == 5 and most[0] == fits
+    assert M.side_by_side(rows.limit(0), 5, "features", 5) == 1
+
+
+def test_storage_memory_is_that_of_the_session(spark):
+    assert 0 < M.storage_memory(spark) < 1 << 40
